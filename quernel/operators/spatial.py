@@ -119,8 +119,8 @@ class KdTree:
                 yield who[keep], self.order[point[keep]]
 
 
-def _splits(points: DataFrame, cells: int) -> tuple[int, DataFrame]:
-    """k-d splits at quantiles of all points: a row per (slab of x, slab of y) with the bounds along x, y and z.
+def _splits(points: DataFrame, cells: int) -> tuple[list[float], DataFrame]:
+    """k-d splits at quantiles of all points: the bounds along x, and a row per (slab of x, slab of y) with the bounds along y and z.
 
     At most ``cells`` numbers come to the driver, from mergeable quantile summaries.
     """
@@ -128,7 +128,7 @@ def _splits(points: DataFrame, cells: int) -> tuple[int, DataFrame]:
     k = max(1, round(cells ** (1 / 3)))
     inner = [i / k for i in range(1, k)]
     if k == 1:
-        return 1, spark.createDataFrame([(0, 0, [], [], [])], "sx int, sy int, bx array<double>, by array<double>, bz array<double>")
+        return [], spark.createDataFrame([(0, 0, [], [])], "sx int, sy int, by array<double>, bz array<double>")
     xs = points.agg(F.percentile_approx("x", inner, 2000)).first()[0] or []
     slab = F.size(F.filter(F.array(*[F.lit(v) for v in xs]), lambda b: b <= F.col("x"))) if xs else F.lit(0)
     by = dict(points.groupBy(slab.alias("s")).agg(F.percentile_approx("y", inner, 2000)).collect())
@@ -136,18 +136,17 @@ def _splits(points: DataFrame, cells: int) -> tuple[int, DataFrame]:
     bounds = F.array(*[F.array(*[F.lit(v) for v in y]).cast("array<double>") for y in ys])
     second = points.withColumn("s", slab).withColumn("t", F.size(F.filter(F.element_at(bounds, F.col("s") + 1), lambda b: b <= F.col("y"))))
     bz = {(s, t): v for s, t, v in second.groupBy("s", "t").agg(F.percentile_approx("z", inner, 2000)).collect()}
-    return k, spark.createDataFrame([(s, t, xs, ys[s], bz.get((s, t), [])) for s in range(k) for t in range(k)], "sx int, sy int, bx array<double>, by array<double>, bz array<double>")
+    return xs, spark.createDataFrame([(s, t, ys[s], bz.get((s, t), [])) for s in range(k) for t in range(k)], "sx int, sy int, by array<double>, bz array<double>")
 
 
-def _cells(rows: DataFrame, k: int, splits: DataFrame) -> DataFrame:
+def _cells(rows: DataFrame, xs: list[float], splits: DataFrame) -> DataFrame:
     """``rows`` (x, y, z, reach) once per cell within reach, with ``cell`` and whether the cell owns the point."""
     at = lambda bounds, v: F.size(F.filter(F.col(bounds), lambda b: b <= v))
     span = lambda bounds, axis: F.sequence(at(bounds, F.col(axis) - F.col("reach")), at(bounds, F.col(axis) + F.col("reach")))
-    splits = splits.withColumn("one", F.lit(1))
-    bx = F.broadcast(splits.where("sx = 0 and sy = 0").select("one", "bx"))
+    k = len(xs) + 1
     by = F.broadcast(splits.where("sy = 0").select("sx", "by"))
     bz = F.broadcast(splits.select("sx", "sy", "bz"))
-    rows = rows.withColumn("one", F.lit(1)).join(bx, "one").drop("one")
+    rows = rows.withColumn("bx", F.array(*[F.lit(v) for v in xs]).cast("array<double>"))
     rows = rows.withColumn("ox", at("bx", F.col("x"))).withColumn("sx", F.explode(span("bx", "x"))).drop("bx").join(by, "sx")
     rows = rows.withColumn("oy", at("by", F.col("y"))).withColumn("sy", F.explode(span("by", "y"))).drop("by").join(bz, ["sx", "sy"])
     rows = rows.withColumn("oz", at("bz", F.col("z"))).withColumn("sz", F.explode(span("bz", "z"))).drop("bz")
@@ -207,17 +206,17 @@ def near_and_within(points: DataFrame, regions: DataFrame | None, km: float | No
     rows = located.groupBy("id").agg(F.min(F.struct("lat", "lng")).alias("p")).select("id", *unit_vector(F.col("p.lat"), F.col("p.lng")))
     spread = located.select(*unit_vector(F.col("lat"), F.col("lng")))
     total = spread.count()
-    k, splits = _splits(spread, min(MAX_CELLS, max(1, total // cell_rows)))
+    xs, splits = _splits(spread, min(MAX_CELLS, max(1, total // cell_rows)))
 
-    sized = _cells(spread.withColumn("reach", F.lit(0.0)), k, splits).where("own").groupBy("cell").count()
+    sized = _cells(spread.withColumn("reach", F.lit(0.0)), xs, splits).where("own").groupBy("cell").count()
     crowded = [(c, -(-n // block_rows)) for c, n in sized.where(F.col("count") > block_rows).collect()]
     blocks = spark.createDataFrame(crowded or [(-1, 1)], "cell int, blocks int")
 
-    placed = _cells(rows.withColumn("reach", F.lit(max(0.0, reach))), k, splits).withColumn("kind", F.lit(0))
+    placed = _cells(rows.withColumn("reach", F.lit(max(0.0, reach))), xs, splits).withColumn("kind", F.lit(0))
     if regions is not None:
         held = regions.where(F.col("id").isNotNull() & valid_location(F.col("lat"), F.col("lng")) & (F.col("radius_km") >= 0))
         held = held.select("id", *unit_vector(F.col("lat"), F.col("lng")), chord(F.col("radius_km")).alias("reach")).distinct()
-        placed = placed.unionByName(_cells(held, k, splits).withColumn("kind", F.lit(1)))
+        placed = placed.unionByName(_cells(held, xs, splits).withColumn("kind", F.lit(1)))
     placed = placed.join(F.broadcast(blocks), "cell", "left").fillna(1, ["blocks"])
     placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
