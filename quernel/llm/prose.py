@@ -2,26 +2,37 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 import numpy as np
-import regex
-
-_FENCE = regex.compile(r"^\s*(```|~~~)")
-_BLOCKS = regex.compile(r"<(pre|code|script|style|table|ul|ol|h[1-6])\b[^>]*>.*?(?:</\1\s*>|\Z)", regex.S | regex.I)
-_BREAKS = regex.compile(r"</?(?:p|div|br|section|article|blockquote|td|tr|body|html)\b[^>]*>", regex.I)
-_TAG = regex.compile(r"</?[A-Za-z][^<>]{0,300}>|<!--.*?-->", regex.S)
-_LINK = regex.compile(r"!?\[([^\]\n]*)\]\([^)\s]*\)|(?:https?://|www\.)\S+")
-_ENTITY = regex.compile(r"&(?:#\d+|#x[0-9a-fA-F]+|[A-Za-z]+);")
-_ASIDE = regex.compile(r"\([^()\n]*(?:\n[^()\n]*)?\)|\[\s*\d+\s*\]| - [^\p{L}\p{N}]+? - |\*\*\w+\*\*|\bin v\d+(?:\.\d+)+|,?\s*\be\.g\.\s*No\.\s*\d+,?|\bby\s+\d+\s+[ap]\.m\.|\bof\s+\d+(?:,\d{3})+\s+rows")
-_LIST = regex.compile(r"^\s*(?:[-*•‣+–]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)])\s+\S")
-_HEAD = regex.compile(r"^\s*(?:#{1,6}\s|={3,}|-{3,}|\*{3,})")
-_CODE = regex.compile(r"^\s{4,}\S.*[;{}()=]|[{}]|=>|->|::|\w\(\)|==|\b(?:SELECT|INSERT|UPDATE|DELETE|FROM|WHERE)\b|^\s*(?:GET|POST|PUT|ERR_|\$|>>>)|\w+=\S+|^\s*[\w.]+:\w+:|^\s*\|.*\||\t.*\t|^\s*\d{4}-\d\d-\d\d[T ]\d\d:")
-_WORD = regex.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_END = regex.compile(r"(?<=[.!?…;])[\"'”’)\]]*\s+(?=[\p{Lu}\p{N}\"“'])|(?<=[.!?…])[\"'”’)\]]*\s+")
-_VOWELS = regex.compile(r"[aeiouyáéíóúàèìòùäöüâêîôû]+")
+
+_FENCE = re.compile(r"\s*(```|~~~)")
+_BLOCKS = re.compile(r"<(pre|code|script|style|table|ul|ol|h[1-6])\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_BREAKS = re.compile(r"</?(?:p|div|br|section|article|blockquote|td|tr|body|html)\b[^>]*>", re.I)
+_TAG = re.compile(r"</?[A-Za-z][^<>]{0,300}>|<!--.*?-->", re.S)
+_LINK = re.compile(r"!?\[([^\]\n]*)\]\([^)\s]*\)|(?:https?://|www\.)[^\s()<>]*[^\s()<>.,;:!?]")
+_ENTITY = re.compile(r"&(?:#\d+|#x[0-9a-fA-F]+|[A-Za-z]+);")
+_ASIDE = re.compile(r"\([^()\n]*(?:\n[^()\n]*)?\)|\[\s*\d+\s*\]|\s-\s[^\w]+?\s-(?=\s|[.!?;,])|\*\*\w+\*\*|\bin\s+v\d+(?:\.\d+)+|,?\s*\be\.g\.\s*No\.\s*\d+,?|\bby\s+\d+\s+[ap]\.m\.|\bof\s+\d+(?:,\d{3})+\s+rows")
+_LIST = re.compile(r"\s*(?:[-*•‣+–]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)])\s+\S")
+_HEAD = re.compile(r"\s*(?:#{1,6}\s|={3,}|-{3,}|\*{3,})")
+_ODD = re.compile(r"[{}=|$>\t()]|->|::|[a-z]:[a-z]|SELECT|INSERT|UPDATE|DELETE|FROM|WHERE|GET|POST|PUT|ERR_|\d{4}-\d\d")
+_CODE = re.compile(r"^\s{4,}\S.*[;{}()=]|[{}]|=>|->|::|\w\(\)|==|\b(?:SELECT|INSERT|UPDATE|DELETE|FROM|WHERE)\b|^\s*(?:GET|POST|PUT|ERR_|\$|>>>)|\w=\S|^\s*[\w.]+:\w+:|^\s*\|.*\||\t.*\t|^\s*\d{4}-\d\d-\d\d[T ]\d\d:")
+#: Words with digits in them, and runs too long for words.
+_CODED = re.compile(r"(?<!\S)(?:[^\s\d]*\d\S*|\S{31,})")
+_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+_END = re.compile(r"(?<=[.!?…;])[\"'”’)\]]*\s+(?=[A-ZÀ-ÖØ-ÞА-Я\d\"“'])|(?<=[.!?…])[\"'”’)\]]*\s+")
+_VOWELS = re.compile(r"[aeiouyáéíóúàèìòùäöüâêîôû]+")
 _ABSTRACT = ("tion", "sion", "ment", "ness", "ity", "ance", "ence", "ism", "ship", "ization", "isation", "ology")
 _LINKERS = frozenset("although because while whereas since unless whether though before after if when until so that which who whose whom where even as consequently therefore however insofar notwithstanding irrespective".split())
 
 
+def _close(m: re.Match) -> str:
+    """What stays of a coded word: the mark that ends its sentence."""
+    word = m.group()
+    return word[len(word.rstrip(".!?;…")) :]
+
+
 def sentences(text: str) -> list[list[str]]:
     """The sentences of the prose as lists of words.
 
@@ -47,8 +58,11 @@ def sentences(text: str) -> list[list[str]]:
             block = []
     found = []
     for block in blocks:
-        joined = _ASIDE.sub(" ", _ENTITY.sub(" ", _LINK.sub(" ", "\n".join(block))))
-        block = [line.strip() for line in joined.split("\n") if line.strip() and not _CODE.search(line)]
+        joined = _LINK.sub(" ", _ENTITY.sub(" ", _ASIDE.sub(" ", "\n".join(block))))
+        block = joined.split("\n")
+        if _ODD.search(joined):
+            block = [line for line in block if not _CODE.search(line)]
+        block = [line for line in (_CODED.sub(_close, line).strip() for line in block) if _WORD.search(line)]
         if not block:
             continue
         closed = sum(line.rstrip("\"'”’)").endswith((".", "!", "?", "…", ";", ":")) for line in block)
@@ -63,6 +77,12 @@ def sentences(text: str) -> list[list[str]]:
     return found
 
 
+@lru_cache(maxsize=200_000)
+def _figures(word: str) -> tuple[int, int, bool, bool]:
+    """Letters, syllables, and whether a word is abstract by its ending, or a linker."""
+    return len(word), syllables(word), len(word) > 5 and word.endswith(_ABSTRACT), word in _LINKERS
+
+
 def syllables(word: str) -> int:
     groups = len(_VOWELS.findall(word))
     if word.endswith("e") and not word.endswith(("le", "ee")) and groups > 1:
@@ -70,6 +90,13 @@ def syllables(word: str) -> int:
     return max(1, groups)
 
 
+def _at(ordered: np.ndarray, share: float) -> float:
+    """The percentile of sorted values, between neighbours in proportion."""
+    place = share * (len(ordered) - 1)
+    low = int(place)
+    return float(ordered[low] + (ordered[min(low + 1, len(ordered) - 1)] - ordered[low]) * (place - low))
+
+
 FEATURES = ("words_mean", "words_median", "words_p90", "words_spread", "letters_mean", "letters_p90", "syllables_mean", "syllables_p90", "long_share", "many_syllables_share", "abstract_share", "variety", "linkers_per_sentence", "linkers_share", "overlap", "school_years")
 
 
@@ -81,16 +108,16 @@ def features(text: str | None) -> tuple[float, ...] | None:
     words = [w for s in found for w in s]
     if not words:
         return None
-    sizes, letters = np.array([len(s) for s in found], float), np.array([len(w) for w in words], float)
-    known: dict[str, int] = {}
-    beats = np.array([known[w] if w in known else known.setdefault(w, syllables(w)) for w in words], float)
-    linkers = sum(w in _LINKERS for w in words)
+    table = np.array([_figures(w) for w in words], float)
+    sizes, letters, beats = np.sort(np.array([len(s) for s in found], float)), np.sort(table[:, 0]), np.sort(table[:, 1])
+    abstract, linkers = table[:, 2].sum(), table[:, 3].sum()
     sets = [set(s) for s in found]
-    overlap = np.mean([len(a & b) / min(len(a), len(b)) for a, b in zip(sets, sets[1:])]) if len(sets) > 1 else 0.0
+    overlap = sum(len(a & b) / min(len(a), len(b)) for a, b in zip(sets, sets[1:])) / max(1, len(sets) - 1)
     windows = [len(set(words[i : i + 50])) / len(words[i : i + 50]) for i in range(0, max(1, len(words) - 49), 50)]
+    length, beat = float(sizes.mean()), float(beats.mean())
     return (
-        float(sizes.mean()), float(np.median(sizes)), float(np.percentile(sizes, 90)), float(sizes.std()),
-        float(letters.mean()), float(np.percentile(letters, 90)), float(beats.mean()), float(np.percentile(beats, 90)),
-        float((letters >= 8).mean()), float((beats >= 4).mean()), sum(len(w) > 5 and w.endswith(_ABSTRACT) for w in words) / len(words), float(np.mean(windows)),
-        linkers / len(found), linkers / len(words), float(overlap), float(0.39 * sizes.mean() + 11.8 * beats.mean() - 15.59),
+        length, _at(sizes, 0.5), _at(sizes, 0.9), float(sizes.std()),
+        float(letters.mean()), _at(letters, 0.9), beat, _at(beats, 0.9),
+        float((letters >= 8).mean()), float((beats >= 4).mean()), float(abstract / len(words)), sum(windows) / len(windows),
+        float(linkers / len(found)), float(linkers / len(words)), float(overlap), 0.39 * length + 11.8 * beat - 15.59,
     )

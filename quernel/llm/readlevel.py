@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from quernel.llm.prose import features
 from quernel.session import ship
 
-#: Years of school that the levels of the graded texts stand for.
-YEARS = {"basic": 4.0, "plain": 9.0, "advanced": 15.0}
+#: Years of school that the levels of the graded texts stand for: below 7, 7 to 12, and 13 or more, by their middles.
+YEARS = {"basic": 4.0, "plain": 9.0, "advanced": 17.0}
 #: From this on a text is advanced.
 ADVANCED = 13.0
 #: Graded texts used for training at most (by lowest hash of the id beyond that).
@@ -79,17 +79,16 @@ class Trees:
         return self.base + self.rate * sum((self._read(t, x) for t in self.grown), np.zeros(len(x)))
 
 
-def rising(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The best rising step function through (x, y), by pooling neighbours that fall; as knots for interpolation."""
+def rising(x: np.ndarray, y: np.ndarray, bins: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """A rising function of x for y: means of ``bins`` shares of the rows, neighbours that fall pooled; as knots for interpolation."""
     order = np.argsort(x, kind="stable")
     pools: list[list[float]] = []
-    for a, b in zip(x[order], y[order]):
-        pools.append([a, a, b, 1])
-        while len(pools) > 1 and pools[-2][2] >= pools[-1][2]:
-            low, high = pools[-2], pools.pop()
-            pools[-1] = [low[0], high[1], (low[2] * low[3] + high[2] * high[3]) / (low[3] + high[3]), low[3] + high[3]]
-    knots = [(p, z) for a, b, z, _ in pools for p in ((a, b) if a < b else (a,))]
-    return np.array([k[0] for k in knots]), np.array([k[1] for k in knots])
+    for part in np.array_split(order, min(bins, len(order))):
+        pools.append([float(x[part].mean()), float(y[part].mean()), len(part)])
+        while len(pools) > 1 and pools[-2][1] >= pools[-1][1]:
+            a, b = pools[-2], pools.pop()
+            pools[-1] = [*((a[k] * a[2] + b[k] * b[2]) / (a[2] + b[2]) for k in (0, 1)), a[2] + b[2]]
+    return np.array([p[0] for p in pools]), np.array([p[1] for p in pools])
 
 
 @dataclass
