@@ -7,8 +7,10 @@ and the second grouping is on that full text, summing the counts.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from decimal import Decimal, InvalidOperation
+from functools import lru_cache
 
 import pandas as pd
 import regex
@@ -20,17 +22,28 @@ from quernel.operators.skew import salted_join
 from quernel.session import cut, ship
 
 _NOISE = regex.compile(r"[^\p{L}\p{N}]+")
-_QUOTES = {'"': '"', "'": "'", "“": "”", "”": "”", "„": "“", "‘": "’", "’": "’", "«": "»", "`": "`"}
-_TOKEN = regex.compile(r"[\s​﻿;]+|(?P<mark>[{}\[\]:,])|(?P<quote>[\"'“”„‘’«`])|(?P<word>[^{}\[\]:,;\s\"'“”„‘’«`]+)")
-_NUMBER = regex.compile(r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?")
+_TOKEN = re.compile(r"""[{}\[\]:,]|"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|“[^”]*”|„[^“”]*[“”]|‘[^’]*’|«[^»]*»|`[^`]*`|[^{}\[\]:,;\s"'“”„‘’«»`]+|["'“”„‘’«»`]""", re.S)
+_QUOTES = frozenset("\"'“”„‘’«»`")
+_PLAIN, _POINT, _NUMBER = re.compile(r"-?(?:0|[1-9]\d*)"), re.compile(r"-?(?:0|[1-9]\d*)\.\d+"), re.compile(r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?")
+#: Closing semicolons and invisible characters stand between tokens.
+_SKIPPED = re.compile(r"[​﻿]")
 
 
 def letters_and_digits(text: str) -> str:
     """The letters and digits of a text, in lower case and composed."""
-    return _NOISE.sub("", unicodedata.normalize("NFC", text)).lower()
-
-
-def _scalar(word: str) -> str:
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text)
+    return text.lower() if text.isalnum() else _NOISE.sub("", text).lower()
+
+
+@lru_cache(maxsize=100_000)
+def _word(word: str) -> str:
+    """A bare word: a number, true, false, null or text."""
+    if _PLAIN.fullmatch(word):
+        return "n" + (word if word != "-0" else "0")
+    if _POINT.fullmatch(word):
+        short = word.rstrip("0").rstrip(".")
+        return "n" + (short if short != "-0" else "0")
     low = word.lower()
     if low in ("true", "false"):
         return "b" + low
@@ -45,29 +58,12 @@ def _scalar(word: str) -> str:
     return "t" + letters_and_digits(word)
 
 
-def _tokens(text: str) -> list[tuple[str, str]]:
-    out, at = [], 0
-    while at < len(text):
-        m = _TOKEN.match(text, at)
-        at = m.end()
-        if m["quote"]:
-            close, part = _QUOTES[m["quote"]], []
-            while at < len(text) and text[at] != close:
-                step = 2 if text[at] == "\\" and at + 1 < len(text) else 1
-                part.append(text[at + step - 1])
-                at += step
-            if at >= len(text):
-                raise ValueError("open quote")
-            at += 1
-            out.append(("text", "t" + letters_and_digits("".join(part))))
-        elif m["mark"]:
-            out.append(("mark", m["mark"]))
-        elif m["word"]:
-            if out and out[-1][0] == "word":
-                out[-1] = "word", f"{out[-1][1]} {m['word']}"
-            else:
-                out.append(("word", m["word"]))
-    return [(k, _scalar(v) if k == "word" else v) for k, v in out]
+@lru_cache(maxsize=100_000)
+def _quoted(token: str) -> str:
+    if len(token) < 2:
+        raise ValueError("open quote")
+    inner = token[1:-1]
+    return "t" + letters_and_digits(re.sub(r"\\(.)", r"\1", inner, flags=re.S) if "\\" in inner else inner)
 
 
 def canonical(text: str | None) -> str | None:
@@ -83,47 +79,65 @@ def canonical(text: str | None) -> str | None:
     if text is None:
         return None
     try:
-        found = _parse(_tokens(text))
-    except (ValueError, IndexError):
+        found = _parse(_TOKEN.findall(_SKIPPED.sub("", text)))
+    except ValueError:
         return "?" + regex.sub(r"[^\p{L}\p{N}.+-]+", "", unicodedata.normalize("NFC", text)).lower()
     return found
 
 
-def _parse(tokens: list[tuple[str, str]]) -> str:
-    """Iterative, so depth is bounded by memory only."""
-    stack: list[list] = [["top", None, []]]
-    for kind, value in tokens:
-        top = stack[-1]
-        if kind == "mark" and value in "{[":
-            stack.append([value, None, []])
-        elif kind == "mark" and value in "}]":
-            if "{[".index(top[0]) != "}]".index(value) or top[1] is not None:
-                raise ValueError("unbalanced")
-            stack.pop()
-            done = "{" + ",".join(sorted(top[2])) + "}" if value == "}" else "[" + ",".join(top[2]) + "]"
-            _put(stack[-1], done)
-        elif kind == "mark" and value == ":":
-            if top[0] != "{" or top[1] is not None or not top[2]:
+def _parse(tokens: list[str]) -> str:
+    """Iterative, so depth is bounded by memory only. A frame is its opening mark, the name waiting for a value, the parts, and whether a value just came."""
+    top: list = ["top", None, [], False]
+    stack = [top]
+    bare = ""
+    for token in [*tokens, ""]:
+        first = token[:1]
+        word = token and first not in _MARKS and first not in _QUOTES
+        if word:
+            bare = f"{bare} {token}" if bare else token
+            continue
+        if bare:
+            _put(top, _word(bare))
+            bare = ""
+        if not token:
+            break
+        if first in _QUOTES:
+            _put(top, _quoted(token))
+        elif token in "{[":
+            top = [token, None, [], False]
+            stack.append(top)
+        elif token == ":":
+            if top[0] != "{" or top[1] is not None or top[3] is not True or top[2][-1][0] in "{[":
                 raise ValueError("no name")
-            top[1] = top[2].pop()
-            if top[1][0] in "{[" or ":" in top[1]:
-                raise ValueError("a name must be a word")
-        elif kind == "mark":
-            if top[0] == "{" and (top[1] is not None or top[2] and ":" not in top[2][-1]):
+            top[1], top[3] = top[2].pop()[1:], False
+        elif token == ",":
+            if top[0] == "{" and (top[1] is not None or top[3] is True):
                 raise ValueError("no value")
+            top[3] = False
         else:
-            _put(top, value)
-    if len(stack) != 1 or len(stack[0][2]) != 1:
+            if len(stack) < 2 or "{[".index(top[0]) != "}]".index(token) or top[1] is not None or (top[0] == "{" and top[3] is True):
+                raise ValueError("unbalanced")
+            done = "{" + ",".join(sorted(top[2])) + "}" if token == "}" else "[" + ",".join(top[2]) + "]"
+            stack.pop()
+            top = stack[-1]
+            _put(top, done)
+    if len(stack) != 1 or len(top[2]) != 1:
         raise ValueError("not one object")
-    return stack[0][2][0]
+    return top[2][0]
 
 
-def _put(place: list, value: str) -> None:
-    if place[0] == "{" and place[1] is not None:
-        place[2].append(f"{place[1][1:]}:{value}")
-        place[1] = None
+def _put(top: list, value: str) -> None:
+    """A value joins its frame; in an object one without a name is a name to be (3 is True), else a finished field (3 is 1)."""
+    if top[3]:
+        raise ValueError("no comma")
+    if top[1] is not None:
+        value, top[1], top[3] = f"{top[1]}:{value}", None, 1
     else:
-        place[2].append(value)
+        top[3] = True if top[0] != "[" else 1
+    top[2].append(value)
+
+
+_MARKS = frozenset("{}[]:,")
 
 
 @F.pandas_udf(StringType())
