@@ -37,10 +37,15 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read back from the shared folder, so that the
-    loss of an executor costs no recomputation of what came before."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` computed once, as a written table in the shared folder, so that the
+    loss of an executor costs no recomputation of what came before. The table
+    goes when the session's JVM ends."""
+    spark = df.sparkSession
+    path = new_path(spark, "cut")
+    df.write.option("compression", "zstd").parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def reader_partitions(spark: SparkSession) -> int:
