@@ -41,14 +41,14 @@ def terms_of(text: Column) -> Column:
 
 
 class _Stack:
-    """Counts and record sets of the prefixes of the current suffix."""
+    """Counts and record sets of the prefixes of the current suffix; a set is arrays of record numbers, or a number where no prefixes are asked for."""
 
     def __init__(self) -> None:
         self.frames: list[list] = []
         self.place: tuple[str, int] | None = None
         self.out: list[tuple[str, str, int, int]] = []
 
-    def add(self, place: tuple[str, int], suffix: str, count: int, records: list[np.ndarray]) -> None:
+    def add(self, place: tuple[str, int], suffix: str, count: int, records: np.ndarray | int) -> None:
         terms = suffix.split(" ")
         shared = 0
         if place == self.place:
@@ -58,20 +58,20 @@ class _Stack:
         self.place = place
         self.frames.extend([t, 0, []] for t in terms[shared:])
         self.frames[-1][1] += count
-        self.frames[-1][2] += records
+        self.frames[-1][2].append(records)
 
     def pop(self, depth: int) -> None:
         while len(self.frames) > depth:
             term, count, records = self.frames.pop()
-            held = np.unique(np.concatenate(records))
-            self.out.append((self.place[0], " ".join([f[0] for f in self.frames] + [term]), count, len(held)))
+            held = np.unique(np.concatenate(records)) if isinstance(records[0], np.ndarray) else sum(records)
+            self.out.append((self.place[0], " ".join([f[0] for f in self.frames] + [term]), count, len(held) if isinstance(held, np.ndarray) else held))
             if self.frames:
                 self.frames[-1][1] += count
                 self.frames[-1][2].append(held)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by field, slice and descending suffix become counted prefixes."""
+    """Suffixes sorted by field, slice and descending text become counted prefixes."""
     stack = _Stack()
     names = ["field", "ngram", "occurrences", "records"]
 
@@ -81,14 +81,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())], names)
 
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        field, piece, suffix = (batch.column(k).to_pandas().to_numpy() for k in range(3))
-        record, n = batch.column(3).to_numpy(), batch.column(4).to_numpy()
-        new = np.flatnonzero(np.r_[True, (suffix[1:] != suffix[:-1]) | (field[1:] != field[:-1]) | (piece[1:] != piece[:-1])])
-        sums = np.add.reduceat(n, new)
-        for k, (start, end) in enumerate(zip(new, np.r_[new[1:], len(n)])):
-            stack.add((field[start], piece[start]), suffix[start], int(sums[k]), [record[start:end]])
+        field, piece, suffix, n = (batch.column(k).to_pylist() for k in range(4))
+        sets = batch.column(4)
+        if pa.types.is_list(sets.type) or pa.types.is_large_list(sets.type):
+            values, ends = sets.values.to_numpy(zero_copy_only=False), sets.offsets.to_numpy()
+            held = (values[a:b] for a, b in zip(ends[:-1], ends[1:]))
+        else:
+            held = sets.to_pylist()
+        for f, k, s, c, r in zip(field, piece, suffix, n, held):
+            stack.add((f, k), s, c, r)
         if len(stack.out) > 50_000:
             yield ready()
     stack.pop(0)
@@ -104,6 +105,9 @@ def ngram_frequencies(df: DataFrame, record: str, fields: dict[str, str], sigma:
     texts of one record in one field the greatest counts. Null texts are no
     records of the field; empty ones are, without terms. Sequences never cross
     texts. Nothing is cut: texts are read whole and all sequences come out.
+
+    Equal suffixes of a slice of records are combined before they are routed;
+    their record sets travel only where longer sequences need them.
     """
     spark = df.sparkSession
     ship(spark)
@@ -113,11 +117,13 @@ def ngram_frequencies(df: DataFrame, record: str, fields: dict[str, str], sigma:
     rows = rows.select("_record", "t.field", "t.terms").where(F.size("terms") > 0)
     rows = rows.select("_record", "field", F.posexplode("terms").alias("at", "first"), "terms") if sigma > 1 else rows.select("_record", "field", F.explode("terms").alias("first"))
     suffix = F.array_join(F.slice("terms", F.col("at") + 1, sigma), " ") if sigma > 1 else F.col("first")
-    held = rows.select("_record", "field", "first", suffix.alias("suffix")).groupBy("_record", "field", "first", "suffix").agg(F.count(F.lit(1)).alias("n"))
+    own = rows.select("_record", "field", suffix.alias("suffix")).groupBy("_record", "field", "suffix").agg(F.count(F.lit(1)).alias("n"))
     number = F.xxhash64("_record") if dict(df.dtypes)[record] not in ("bigint", "int", "smallint", "tinyint") else F.coalesce(F.col("_record").cast("long"), F.lit(-(1 << 63)))
-    held = held.withColumn("slice", F.pmod(F.xxhash64("_record"), F.lit(slices)).cast("int")).withColumn("number", number)
-    routed = held.repartition(reader_partitions(spark), "field", "first", "slice").sortWithinPartitions("field", "slice", F.desc("suffix"))
-    parts = routed.select("field", "slice", "suffix", "number", "n").mapInArrow(_count, "field string, ngram string, occurrences bigint, records bigint")
+    own = own.withColumn("slice", F.pmod(F.xxhash64("_record"), F.lit(slices)).cast("int"))
+    sets = F.collect_list(number) if sigma > 1 else F.count(F.lit(1))
+    combined = own.groupBy("field", "slice", "suffix").agg(F.sum("n").alias("n"), sets.alias("sets"))
+    routed = combined.repartition(reader_partitions(spark), F.col("field"), F.substring_index("suffix", " ", 1), F.col("slice")).sortWithinPartitions("field", "slice", F.desc("suffix"))
+    parts = routed.select("field", "slice", "suffix", "n", "sets").mapInArrow(_count, "field string, ngram string, occurrences bigint, records bigint")
     return parts.groupBy("field", "ngram").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 
