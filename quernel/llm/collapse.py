@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -163,10 +163,18 @@ def collapse(df: DataFrame, record: str, exact: list[str], code: str, content: s
     exact_, (code_, content_) = [named[c] for c in exact], [named[code], named[content]]
     distinct = rows.groupBy(*named.values()).agg(F.min("record_id").alias("least"), F.count(F.lit(1)).alias("n"))
     plain = F.regexp_replace(F.lower(F.col(code_)), r"[^\p{L}\p{N}]+", "")
-    survivors = cut(distinct.withColumn("_code", plain).withColumn("_content", canonical_text(content_)))
+    survivors = cut(distinct.select(_digest(list(named.values())).alias("_raw"), *exact_, plain.alias("_code"), canonical_text(content_).alias("_content"), "least", "n"))
     group = [*exact_, "_code", "_content"]
-    sets = cut(survivors.groupBy(*group).agg(F.min("least").alias("kept_id"), F.sum("n").alias("copies"), F.count(F.lit(1)).alias("writings")))
-    raw_kept = cut(salted_join(survivors, sets.drop("copies"), group, "writings", "least").select(*named.values(), "n", "kept_id"))
-    members = salted_join(rows.where(F.col("record_id").isNotNull()), raw_kept, list(named.values()), "n", "record_id").select("record_id", "kept_id")
+    sets = survivors.groupBy(*group).agg(F.min("least").alias("kept_id"), F.sum("n").alias("copies"), F.count(F.lit(1)).alias("writings"))
+    kept = cut(sets.select(_digest(group).alias("_set"), "kept_id", "writings"))
+    raw_kept = cut(salted_join(survivors.select(_digest(group).alias("_set"), "_raw", "n"), kept, ["_set"], "writings", "_raw").select("_raw", "n", "kept_id"))
+    found = rows.where(F.col("record_id").isNotNull()).select(_digest(list(named.values())).alias("_raw"), "record_id")
+    members = salted_join(found, raw_kept, ["_raw"], "n", "record_id").select("record_id", "kept_id")
     back = {a: c for c, a in named.items() if c in exact} | {"_code": code, "_content": content}
     return sets.drop("writings").withColumnsRenamed(back), members
+
+
+def _digest(columns: list[str]) -> Column:
+    """128 bits that stand for the columns where rows find their group again; lengths keep the parts apart, nulls have none."""
+    parts = [F.coalesce(F.concat(F.length(F.col(c).cast("string")), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in columns]
+    return F.unhex(F.md5(F.concat(*parts)))
