@@ -13,7 +13,17 @@ _BREAKS = re.compile(r"</?(?:p|div|br|section|article|blockquote|td|tr|body|html
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,300}>|<!--.*?-->", re.S)
 _LINK = re.compile(r"!?\[([^\]\n]*)\]\([^)\s]*\)|(?:https?://|www\.)[^\s()<>]*[^\s()<>.,;:!?]")
 _ENTITY = re.compile(r"&(?:#\d+|#x[0-9a-fA-F]+|[A-Za-z]+);")
-_ASIDE = re.compile(r"\([^()\n]*(?:\n[^()\n]*)?\)|\[\s*\d+\s*\]|\s-\s[^\w]+?\s-(?=\s|[.!?;,])|\*\*\w+\*\*|\bin\s+v\d+(?:\.\d+)+|,?\s*\be\.g\.\s*No\.\s*\d+,?|\bby\s+\d+\s+[ap]\.m\.|\bof\s+\d+(?:,\d{3})+\s+rows")
+#: Asides, each with a text that must occur before its pattern is tried.
+_ASIDES = [
+    ("(", re.compile(r"\([^()\n]*(?:\n[^()\n]*)?\)")),
+    ("[", re.compile(r"\[\s*\d+\s*\]")),
+    ("**", re.compile(r"\*\*\w+\*\*")),
+    (".m.", re.compile(r"\bby\s+\d+\s+[ap]\.m\.")),
+    ("e.g.", re.compile(r",?\s*\be\.g\.\s*No\.\s*\d+,?")),
+    ("rows", re.compile(r"\bof\s+\d+(?:,\d{3})+\s+rows")),
+    ("in", re.compile(r"\bin\s+v\d+(?:\.\d+)+")),
+    ("-", re.compile(r"(?<=\s)-\s[^\w]+?\s-(?=\s|[.!?;,])")),
+]
 _LIST = re.compile(r"\s*(?:[-*•‣+–]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)])\s+\S")
 _HEAD = re.compile(r"\s*(?:#{1,6}\s|={3,}|-{3,}|\*{3,})")
 _ODD = re.compile(r"[{}=|$>\t()]|->|::|[a-z]:[a-z]|SELECT|INSERT|UPDATE|DELETE|FROM|WHERE|GET|POST|PUT|ERR_|\d{4}-\d\d")
@@ -40,8 +50,9 @@ def sentences(text: str) -> list[list[str]]:
     are no prose. Lines without a full stop are sentences of their own where a
     block is written one sentence a line, and parts of one where it is wrapped.
     """
-    text = _BLOCKS.sub("\n\n", text.replace("\r\n", "\n").replace("\r", "\n"))
-    text = _TAG.sub(" ", _BREAKS.sub("\n\n", text))
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
+    if "<" in text:
+        text = _TAG.sub(" ", _BREAKS.sub("\n\n", _BLOCKS.sub("\n\n", text)))
     lines, fenced = [], False
     for line in text.split("\n"):
         if _FENCE.match(line):
@@ -58,11 +69,17 @@ def sentences(text: str) -> list[list[str]]:
             block = []
     found = []
     for block in blocks:
-        joined = _LINK.sub(" ", _ENTITY.sub(" ", _ASIDE.sub(" ", "\n".join(block))))
-        block = joined.split("\n")
+        joined = "\n".join(block)
+        for sign, aside in _ASIDES:
+            if sign in joined:
+                joined = aside.sub(" ", joined)
+        if "&" in joined:
+            joined = _ENTITY.sub(" ", joined)
+        if "](" in joined or "://" in joined or "www." in joined:
+            joined = _LINK.sub(" ", joined)
         if _ODD.search(joined):
-            block = [line for line in block if not _CODE.search(line)]
-        block = [line for line in (_CODED.sub(_close, line).strip() for line in block) if _WORD.search(line)]
+            joined = "\n".join(line for line in joined.split("\n") if not _CODE.search(line))
+        block = [line for line in map(str.strip, _CODED.sub(_close, joined).split("\n")) if _WORD.search(line)]
         if not block:
             continue
         closed = sum(line.rstrip("\"'”’)").endswith((".", "!", "?", "…", ";", ":")) for line in block)
@@ -71,9 +88,9 @@ def sentences(text: str) -> list[list[str]]:
         capital = sum(line[0].isupper() for line in block)
         single = len(block) > 1 and capital >= 0.8 * len(block) and closed <= 0.2 * len(block)
         for part in block if single else _END.split(" ".join(block)):
-            words = _WORD.findall(part or "")
+            words = _WORD.findall(part.lower() if part else "")
             if len(words) >= 2:
-                found.append([w.lower() for w in words])
+                found.append(words)
     return found
 
 
