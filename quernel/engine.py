@@ -105,7 +105,7 @@ class Engine:
     def _track(self, table: str, operation: str, filters: object, began: float, hit: bool, error: str | None = None, correlation: str | None = None) -> None:
         text = json.dumps(filters, sort_keys=True, default=repr)
         query = hashlib.sha256(f"{table}:{operation}:{text}".encode()).hexdigest()[:32]
-        self.queries.append({"id": len(self.queries) + 1, "query_id": query, "table_name": table, "query_type": operation, "filters": text, "execution_time_ms": (self.clock() - began) * 1000, "cache_hit": hit, "logged_ms": int(time.time() * 1000), "error": error, "correlation_id": correlation})
+        self.queries.append({"id": len(self.queries) + 1, "query_id": query, "table_name": table, "query_type": operation, "filters": text, "execution_time_ms": float(self.clock() - began) * 1000, "cache_hit": hit, "logged_ms": int(time.time() * 1000), "error": error, "correlation_id": correlation})
 
     def log(self, correlation: str | None = None) -> DataFrame:
         """What was asked, with planning times and cache hits."""

@@ -27,7 +27,8 @@ def read(spark: SparkSession, path: str, kind: str = "parquet", schema: str | No
 def write(df: DataFrame, path: str, kind: str = "parquet", mode: str = "errorifexists", partition_by: Iterable[str] = ()) -> None:
     if kind not in FORMATS:
         raise ValueError(f"unknown format {kind}")
-    df.write.format(kind).mode(mode).partitionBy(*partition_by).save(path)
+    writer = df.write.format(kind).mode(mode).partitionBy(*partition_by)
+    (writer.option("header", "true") if kind == "csv" else writer).save(path)
 
 
 def cast_read(df: DataFrame, flags: Iterable[str] = (), json: Iterable[str] = ()) -> DataFrame:
