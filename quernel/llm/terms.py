@@ -106,8 +106,10 @@ def ngram_frequencies(df: DataFrame, record: str, fields: dict[str, str], sigma:
     records of the field; empty ones are, without terms. Sequences never cross
     texts. Nothing is cut: texts are read whole and all sequences come out.
 
-    Equal suffixes of a slice of records are combined before they are routed;
-    their record sets travel only where longer sequences need them.
+    A record's suffixes are sorted within its row, where the first of equal ones
+    stands for the record. Equal suffixes of a slice of records are combined
+    before they are routed; their record sets travel only where longer
+    sequences need them.
     """
     spark = df.sparkSession
     ship(spark)
@@ -115,13 +117,13 @@ def ngram_frequencies(df: DataFrame, record: str, fields: dict[str, str], sigma:
     texts = df.groupBy(F.col(record).alias("_record")).agg(*[F.max(c).alias(f"_t{i}") for i, c in enumerate(fields.values())])
     rows = texts.select("_record", F.explode(F.array(*[F.struct(F.lit(label).alias("field"), terms_of(F.col(f"_t{i}")).alias("terms")) for i, label in enumerate(fields)])).alias("t"))
     rows = rows.select("_record", "t.field", "t.terms").where(F.size("terms") > 0)
-    rows = rows.select("_record", "field", F.posexplode("terms").alias("at", "first"), "terms") if sigma > 1 else rows.select("_record", "field", F.explode("terms").alias("first"))
-    suffix = F.array_join(F.slice("terms", F.col("at") + 1, sigma), " ") if sigma > 1 else F.col("first")
-    own = rows.select("_record", "field", suffix.alias("suffix")).groupBy("_record", "field", "suffix").agg(F.count(F.lit(1)).alias("n"))
+    suffixes = F.transform("terms", lambda t, i: F.array_join(F.slice("terms", i + 1, sigma), " ")) if sigma > 1 else F.col("terms")
     number = F.xxhash64("_record") if dict(df.dtypes)[record] not in ("bigint", "int", "smallint", "tinyint") else F.coalesce(F.col("_record").cast("long"), F.lit(-(1 << 63)))
-    own = own.withColumn("slice", F.pmod(F.xxhash64("_record"), F.lit(slices)).cast("int"))
-    sets = F.collect_list(number) if sigma > 1 else F.count(F.lit(1))
-    combined = own.groupBy("field", "slice", "suffix").agg(F.sum("n").alias("n"), sets.alias("sets"))
+    slice_ = F.pmod(F.xxhash64("_record"), F.lit(slices)).cast("int")
+    rows = rows.select("field", number.alias("number"), slice_.alias("slice"), F.array_sort(suffixes).alias("all")).select("field", "number", "slice", "all", F.posexplode("all").alias("at", "suffix"))
+    first = (F.col("at") == 0) | (F.get("all", F.col("at") - 1) != F.col("suffix"))
+    sets = F.collect_list(F.when(first, F.col("number"))) if sigma > 1 else F.count_if(first)
+    combined = rows.groupBy("field", "slice", "suffix").agg(F.count(F.lit(1)).alias("n"), sets.alias("sets"))
     routed = combined.repartition(reader_partitions(spark), F.col("field"), F.substring_index("suffix", " ", 1), F.col("slice")).sortWithinPartitions("field", "slice", F.desc("suffix"))
     parts = routed.select("field", "slice", "suffix", "n", "sets").mapInArrow(_count, "field string, ngram string, occurrences bigint, records bigint")
     return parts.groupBy("field", "ngram").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
