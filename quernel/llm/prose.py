@@ -95,9 +95,9 @@ def sentences(text: str) -> list[list[str]]:
 
 
 @lru_cache(maxsize=200_000)
-def _figures(word: str) -> tuple[int, int, bool, bool]:
-    """Letters, syllables, and whether a word is abstract by its ending, or a linker."""
-    return len(word), syllables(word), len(word) > 5 and word.endswith(_ABSTRACT), word in _LINKERS
+def _figures(word: str) -> int:
+    """Letters (8 bits), syllables (8 bits), whether a word is abstract by its ending, and whether it is a linker."""
+    return min(255, len(word)) | min(255, syllables(word)) << 8 | (len(word) > 5 and word.endswith(_ABSTRACT)) << 16 | (word in _LINKERS) << 17
 
 
 def syllables(word: str) -> int:
@@ -125,9 +125,9 @@ def features(text: str | None) -> tuple[float, ...] | None:
     words = [w for s in found for w in s]
     if not words:
         return None
-    table = np.array([_figures(w) for w in words], float)
-    sizes, letters, beats = np.sort(np.array([len(s) for s in found], float)), np.sort(table[:, 0]), np.sort(table[:, 1])
-    abstract, linkers = table[:, 2].sum(), table[:, 3].sum()
+    held = np.fromiter(map(_figures, words), np.int64, len(words))
+    sizes, letters, beats = np.sort(np.fromiter(map(len, found), float, len(found))), np.sort(held & 255), np.sort(held >> 8 & 255)
+    abstract, linkers = (held >> 16 & 1).sum(), (held >> 17).sum()
     sets = [set(s) for s in found]
     overlap = sum(len(a & b) / min(len(a), len(b)) for a, b in zip(sets, sets[1:])) / max(1, len(sets) - 1)
     windows = [len(set(words[i : i + 50])) / len(words[i : i + 50]) for i in range(0, max(1, len(words) - 49), 50)]
