@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernel.functions.stem import stem_words
+from quernel.session import spread
 
 # The stop words left out by default.
 STOP_WORDS = (
@@ -61,7 +62,7 @@ def merged_positions(df: DataFrame, key: list[str], fields: list[str], kind: str
     if not texts:
         raise ValueError("no text field")
     parts = F.array(*[F.struct(F.lit(i).alias("field_ord"), F.lit(f).alias("field"), tokens_of(F.col(f), kind).alias("tokens")) for i, f in enumerate(texts)])
-    rows = df.select(*key, F.inline(parts)).select(*key, "field_ord", "field", F.inline("tokens"))
+    rows = spread(df.select(*key, *[t for t in texts if t not in key])).select(*key, F.inline(parts)).select(*key, "field_ord", "field", F.inline("tokens"))
     return rows.groupBy(*key, "field_ord", "field", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 

@@ -7,7 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.functions.geo import distance, valid, within_bounds
+from quernel.functions.geo import RADIUS, distance, valid, within_bounds
+from quernel.session import spread
 
 # City buckets as id, name, latitude, longitude, radius in km, aliases.
 CITIES = [
@@ -121,8 +122,9 @@ def first_bucket(df: DataFrame, key: str, lat: str, lng: str, buckets: DataFrame
     west, north, east) must be a short list: it is held as an array in each task.
     """
     boxed = "south" in buckets.columns
-    columns = ["ord", "bucket_id", F.col("lat").alias("blat"), F.col("lng").alias("blng"), "radius_km", *(["south", "west", "north", "east"] if boxed else [])]
+    columns = ["ord", "bucket_id", F.col("lat").alias("blat"), F.col("lng").alias("blng"), "radius_km", (F.degrees(F.col("radius_km") / RADIUS["km"]) * 1.0001 + 1e-9).alias("reach"), *(["south", "west", "north", "east"] if boxed else [])]
     listed = buckets.agg(F.sort_array(F.collect_list(F.struct(*columns))))
-    inside = lambda b: (distance(F.col(lat), F.col(lng), b["blat"], b["blng"]) <= b["radius_km"]) | (F.coalesce(within_bounds(F.col(lat), F.col(lng), b["south"], b["west"], b["north"], b["east"]), F.lit(False)) if boxed else F.lit(False))
+    near = lambda b: F.when(F.abs(F.col(lat) - b["blat"]) <= b["reach"], distance(F.col(lat), F.col(lng), b["blat"], b["blng"]) <= b["radius_km"]).otherwise(False)
+    inside = lambda b: near(b) | (F.coalesce(within_bounds(F.col(lat), F.col(lng), b["south"], b["west"], b["north"], b["east"]), F.lit(False)) if boxed else F.lit(False))
     hit = F.get(F.filter("_all", inside), 0)["bucket_id"]
-    return df.withColumn("_all", listed.scalar()).withColumn("bucket_id", F.when(valid(F.col(lat), F.col(lng)), hit)).drop("_all")
+    return spread(df).withColumn("_all", listed.scalar()).withColumn("bucket_id", F.when(valid(F.col(lat), F.col(lng)), hit)).drop("_all")

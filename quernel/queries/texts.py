@@ -13,7 +13,7 @@ from quernel.functions import text as T
 from quernel.functions.stem import STEP2, STEP3, STEP4, stem
 from quernel.operators import cluster, geosearch, index, places, search
 from quernel.queries.model import engine
-from quernel.session import table
+from quernel.session import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -45,7 +45,7 @@ _DOC_TOKENS = _tokens_sql("documents", "doc_id", "text")
 @query(f"SELECT doc_id, count(*) AS tokens, sum(pos) AS positions, count(DISTINCT term) AS terms FROM ({_DOC_TOKENS}) GROUP BY doc_id")
 def tokenize_simple(spark: SparkSession, d: str) -> DataFrame:
     """Tokens, the sum of their positions, and distinct terms of each document."""
-    rows = table(spark, d, "documents").select("doc_id", F.inline(T.simple_tokens(F.col("text"))))
+    rows = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.inline(T.simple_tokens(F.col("text"))))
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"), F.sum("pos").alias("positions"), F.countDistinct("term").alias("terms"))
 
 

@@ -65,3 +65,13 @@ def ship(spark: SparkSession) -> None:
             packed.write(source, source.relative_to(here.parent))
     context.addPyFile(str(at))
     context._quernel_shipped = True
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, for work that is heavy by row, where its files are too few and too small to be read by all of them."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    read = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    few = 0 < len(df._jdf.inputFiles()) < cores and size < cores * read
+    return df.repartition(cores) if few else df
