@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernel.llm.prose import features
-from quernel.session import ship
+from quernel.session import ship, spread
 
 #: Years of school that the levels of the graded texts stand for: below 7, 7 to 12, and 13 or more, by their middles.
 YEARS = {"basic": 4.0, "plain": 9.0, "advanced": 17.0}
@@ -153,4 +153,4 @@ def reading_level(df: DataFrame, key: str, text: str, model: Model) -> DataFrame
             yield pd.DataFrame({"_key": page["_key"], "grade": pd.array(np.where(some, grades, 0.0), "Float64").copy() if some.all() else pd.Series([g if s else None for g, s in zip(grades, some)], dtype="Float64")})
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInPandas(run, f"_key {kind}, grade double").withColumnRenamed("_key", key)
+    return spread(df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))).mapInPandas(run, f"_key {kind}, grade double").withColumnRenamed("_key", key)

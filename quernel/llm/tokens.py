@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernel.llm.bpe import transducer
-from quernel.session import ship
+from quernel.session import ship, spread
 
 #: File of ranks on every machine; a parameter of every operator.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -35,7 +35,7 @@ def encode_corpus(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULA
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["_key", "ids"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, f"_key {kind}, ids array<int>").withColumnRenamed("_key", key)
+    return spread(df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))).mapInArrow(run, f"_key {kind}, ids array<int>").withColumnRenamed("_key", key)
 
 
 def with_token_counts(df: DataFrame, text: str, vocabulary: str = VOCABULARY, name: str = "n_tokens") -> DataFrame:
@@ -51,7 +51,7 @@ def with_token_counts(df: DataFrame, text: str, vocabulary: str = VOCABULARY, na
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], sizes], [*batch.schema.names[:at], name])
 
     schema = kept.withColumn(name, F.lit(0).cast("long")).schema
-    return df.select(*kept.columns, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return spread(df.select(*kept.columns, F.col(text).alias("_text"))).mapInArrow(run, schema)
 
 
 def decode_corpus(df: DataFrame, key: str, ids: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
