@@ -36,6 +36,12 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/quernel-{label}-{uuid.uuid4().hex}"
 
 
+def forget_at_end(spark: SparkSession, path: str) -> None:
+    """Delete a path when the session's JVM ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once, as a written table in the shared folder, so that the
     loss of an executor costs no recomputation of what came before. The table
@@ -43,8 +49,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, "cut")
     df.write.option("compression", "zstd").parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    forget_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
