@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernel.session import new_path, reader_partitions, ship
+from quernel.session import forget_at_end, new_path, reader_partitions, ship
 
 #: Bytes of a row group of the clustered files.
 ROW_GROUP = 1 << 20
@@ -96,6 +96,7 @@ def top_n(df: DataFrame, group: str, score: str, ties: list[tuple[str, bool]], n
     path = new_path(spark, "clustered")
     clustered = rows.repartitionByRange(reader_partitions(spark), F.asc("_group"), *order).sortWithinPartitions(F.asc("_group"), *order)
     clustered.write.option("parquet.block.size", str(row_group_bytes)).parquet(path)
+    forget_at_end(spark, path)
     files = spark.read.parquet(path).inputFiles()
     if not files:
         return rows.withColumn("rank", F.lit(0)).limit(0).withColumnsRenamed(named)
