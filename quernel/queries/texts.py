@@ -233,6 +233,12 @@ def fuzzy_terms(spark: SparkSession, d: str) -> DataFrame:
     return search.fuzzy_terms(_doc_index(spark, d).where(F.col("term").rlike("^[a-z0-9]+$")), "cache", 2).withColumn("edits", F.col("edits").cast("long"))
 
 
+@query()
+def fuzzy_terms_all(spark: SparkSession, d: str) -> DataFrame:
+    """All terms that are nearly a given one, in any script, by characters."""
+    return search.fuzzy_terms(_doc_index(spark, d), "cache", 2).withColumn("edits", F.col("edits").cast("long"))
+
+
 @query(f"WITH s AS (SELECT {_score_sql(['title', 'description'], ['clean', 'roof'])} * 100 AS s FROM services) SELECT CASE WHEN s >= 80 THEN '80-100' WHEN s >= 50 THEN '50-79' ELSE '0-49' END AS band, count(*) AS n FROM s GROUP BY 1")
 def score_histogram(spark: SparkSession, d: str) -> DataFrame:
     """Services per band of their score."""
