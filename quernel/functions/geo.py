@@ -72,10 +72,11 @@ def valid(lat: Column, lng: Column) -> Column:
 
 
 def centroid(lat: Column, lng: Column) -> tuple[Column, Column]:
-    """Aggregates: latitude and longitude of the mean direction; null for no points."""
+    """Aggregates: latitude and longitude of the mean direction; null for no points and for directions that cancel out."""
     a, o = F.radians(lat), F.radians(lng)
     x, y, z = F.avg(F.cos(a) * F.cos(o)), F.avg(F.cos(a) * F.sin(o)), F.avg(F.sin(a))
-    return F.degrees(F.atan2(z, F.sqrt(x * x + y * y))), F.degrees(F.atan2(y, x))
+    some = x * x + y * y + z * z > 1e-24
+    return F.when(some, F.degrees(F.atan2(z, F.sqrt(x * x + y * y)))), F.when(some, F.degrees(F.atan2(y, x)))
 
 
 def box_of(lat: Column, lng: Column) -> list[Column]:

@@ -229,7 +229,7 @@ def facet_ranges(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH t AS (SELECT DISTINCT term FROM ({_DOC_TOKENS}) WHERE regexp_matches(term, '^[a-z0-9]+$')) SELECT term, levenshtein(term, 'cache') AS edits FROM t WHERE levenshtein(term, 'cache') <= 2")
 def fuzzy_terms(spark: SparkSession, d: str) -> DataFrame:
-    """Terms that are nearly a given one; of ASCII only, as DuckDB counts edits by bytes."""
+    """Terms that are nearly a given one; of ASCII only, as DuckDB counts edits by bytes; fuzzy_terms_all has every term."""
     return search.fuzzy_terms(_doc_index(spark, d).where(F.col("term").rlike("^[a-z0-9]+$")), "cache", 2).withColumn("edits", F.col("edits").cast("long"))
 
 
@@ -317,11 +317,19 @@ def geo_buckets_meeting(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT location_name, count(*) AS n, round(degrees(atan2(avg(sin(radians(lat))), sqrt(avg(cos(radians(lat)) * cos(radians(lng))) ** 2 + avg(cos(radians(lat)) * sin(radians(lng))) ** 2))), 4) AS lat FROM ({_GEO}) WHERE {_OK} GROUP BY location_name HAVING count(*) > 2")
 def geo_centroid(spark: SparkSession, d: str) -> DataFrame:
-    """The middle of the points of each place name."""
+    """The latitude of the middle of each place name with more than two points; geo_centroid_all has every name."""
     rows = _points(spark, d).where(G.valid(F.col("lat"), F.col("lng"))).groupBy("location_name")
     return rows.agg(F.count(F.lit(1)).alias("n"), F.round(G.centroid(F.col("lat"), F.col("lng"))[0], 4).alias("lat")).where("n > 2")
 
 
+@query()
+def geo_centroid_all(spark: SparkSession, d: str) -> DataFrame:
+    """The middle of the points of every place name; null where their directions cancel out."""
+    rows = _points(spark, d).where(G.valid(F.col("lat"), F.col("lng"))).groupBy("location_name")
+    lat, lng = G.centroid(F.col("lat"), F.col("lng"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.round(lat, 4).alias("lat"), F.round(lng, 4).alias("lng"))
+
+
 @query(f"SELECT round(lat, 4) AS lat, round(lng, 4) AS lng, count(*) AS n FROM ({_GEO}) WHERE lat BETWEEN 0 AND 45 AND lng BETWEEN 0 AND 90 GROUP BY 1, 2")
 def geo_map_listing(spark: SparkSession, d: str) -> DataFrame:
     """Distinct coordinates in a box."""

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 
 from quernel.queries import texts
 
@@ -23,3 +22,16 @@ def test_fuzzy_terms_all(spark, tmp_path):
     found = {r.term: r.edits for r in texts.fuzzy_terms_all(spark, str(tmp_path)).collect()}
     assert found == {w: n for w in [*words.split(), "ĉaĉhe"] if (n := _edits(w, "cache")) <= 2}
     assert {"küche", "cache<", "`cache", "čäche"} <= set(found)
+
+
+def test_geo_centroid_all(spark, tmp_path):
+    points = [("one", 12.5, -170.25), ("two", 10.0, 179.0), ("two", 10.0, -179.0), ("against", 0.0, 0.0), ("against", 0.0, 180.0), ("poles", 90.0, 0.0), ("poles", -90.0, 0.0), (None, 1.0, 2.0), ("bad", 95.0, 1.0), *[("many", 20.0 + i, 30.0 + 2 * i) for i in range(5)]]
+    rows = [(i, n, (a, o)) for i, (n, a, o) in enumerate(points)]
+    spark.createDataFrame(rows, "geo_id long, location_name string, location struct<lat: double, lng: double>").write.parquet(f"{tmp_path}/geo_documents.parquet")
+    found = {r.location_name: (r.n, r.lat, r.lng) for r in texts.geo_centroid_all(spark, str(tmp_path)).collect()}
+    many = [(math.radians(a), math.radians(o)) for n, a, o in points if n == "many"]
+    x, y, z = (sum(v) for v in zip(*[(math.cos(a) * math.cos(o), math.cos(a) * math.sin(o), math.sin(a)) for a, o in many]))
+    assert found.pop("many") == (5, round(math.degrees(math.atan2(z, math.hypot(x, y))), 4), round(math.degrees(math.atan2(y, x)), 4))
+    n, lat, lng = found.pop("two")
+    assert n == 2 and lat == 10.0015 and abs(lng) == 180
+    assert found == {"one": (1, 12.5, -170.25), "against": (2, None, None), "poles": (2, None, None), None: (1, 1.0, 2.0)}
