@@ -88,11 +88,18 @@ _WORDS = "SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) A
 
 @query(_stem_sql(_WORDS))
 def stem_vocab(spark: SparkSession, d: str) -> DataFrame:
-    """The stem of every word of the documents."""
+    """The stem of every run of three or more ASCII letters of the documents; stem_vocab_all has every word."""
     words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("word")).distinct()
     return words.select("word", stem(F.col("word")).alias("stem"))
 
 
+@query()
+def stem_vocab_all(spark: SparkSession, d: str) -> DataFrame:
+    """The stem of every word of the documents, as the tokeniser cuts them."""
+    words = spread(table(spark, d, "documents").select("text")).select(F.explode(T.words_of(F.col("text"))).alias("word")).distinct()
+    return words.select("word", stem(F.col("word")).alias("stem"))
+
+
 _PART_WORDS = " UNION ALL ".join(f"SELECT p_partkey AS doc_id, {i} AS ord, {b} AS boost, term FROM ({_tokens_sql('part', 'p_partkey', f)})" for i, (f, b) in enumerate((("p_name", 3.0), ("p_type", 2.0), ("p_brand", 1.0))))
 _PART_INDEX = f"SELECT doc_id, term, count(*) AS tf, count(*) * min_by(boost, ord) AS score FROM ({_PART_WORDS}) GROUP BY doc_id, term"
 _DOC_INDEX = f"SELECT doc_id, term, count(*) AS tf, list(pos ORDER BY pos) AS positions FROM ({_DOC_TOKENS}) GROUP BY doc_id, term"

@@ -35,3 +35,10 @@ def test_geo_centroid_all(spark, tmp_path):
     n, lat, lng = found.pop("two")
     assert n == 2 and lat == 10.0015 and abs(lng) == 180
     assert found == {"one": (1, 12.5, -170.25), "against": (2, None, None), "poles": (2, None, None), None: (1, 1.0, 2.0)}
+
+
+def test_stem_vocab_all(spark, tmp_path):
+    spark.createDataFrame([("Añadimos caches, Москва is 東京 x9!",), ("Running\u3000caches -- naïve\u00a0ponies",), ("",), (None,)], "text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.word: r.stem for r in texts.stem_vocab_all(spark, str(tmp_path)).collect()}
+    assert set(found) == set("añadimos caches москва is 東京 x9 running naïve ponies".split())
+    assert (found["caches"], found["running"], found["москва"], found["東京"]) == ("cach", "run", "москва", "東京")
