@@ -379,11 +379,18 @@ _DICE = "CASE WHEN k = o THEN 1.0 WHEN length(k) < 2 OR length(o) < 2 THEN 0.0 E
     SELECT name, coalesce(direct.c, alias.c, fuzzy.c, name) AS canonical, CASE WHEN direct.c IS NOT NULL THEN 'direct' WHEN alias.c IS NOT NULL THEN 'alias' WHEN fuzzy.c IS NOT NULL THEN 'fuzzy' ELSE 'as_is' END AS how
     FROM n LEFT JOIN direct USING (name) LEFT JOIN alias USING (name) LEFT JOIN fuzzy USING (name)""")
 def place_normalize(spark: SparkSession, d: str) -> DataFrame:
-    """Names of places in their canonical spelling."""
+    """Some names of places in their canonical spelling; place_normalize_all has those of the table."""
     names = spark.createDataFrame([(n,) for n in _NAMES.split("|")], "name string")
     return places.normalise(names, "name", places.known_places(spark)).select("name", "canonical", "how")
 
 
+@query()
+def place_normalize_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every place name of the points in its canonical spelling."""
+    names = table(spark, d, "geo_documents").where("location_name IS NOT NULL").select(F.col("location_name").alias("name")).distinct()
+    return places.normalise(names, "name", places.known_places(spark)).select("name", "canonical", "how")
+
+
 @query(f"WITH x AS (SELECT DISTINCT regexp_replace(regexp_replace(trim(lower(location_name)), '[^A-Za-z0-9_\\s]', '', 'g'), '\\s+', ' ', 'g') AS k, 'quindo bay' AS o FROM geo_documents WHERE location_name IS NOT NULL) SELECT k, round(CAST({_DICE} AS DOUBLE), 6) AS likeness FROM x")
 def place_dice(spark: SparkSession, d: str) -> DataFrame:
     """How much each place name is like one name."""

@@ -42,3 +42,11 @@ def test_stem_vocab_all(spark, tmp_path):
     found = {r.word: r.stem for r in texts.stem_vocab_all(spark, str(tmp_path)).collect()}
     assert set(found) == set("añadimos caches москва is 東京 x9 running naïve ponies".split())
     assert (found["caches"], found["running"], found["москва"], found["東京"]) == ("cach", "run", "москва", "東京")
+
+
+def test_place_normalize_all(spark, tmp_path):
+    names = ["NYC", "NYC", "the big apple", "Phoenixx", "Quindo Bay", "", None]
+    spark.createDataFrame([(n,) for n in names], "location_name string").write.parquet(f"{tmp_path}/geo_documents.parquet")
+    rows = [tuple(r) for r in texts.place_normalize_all(spark, str(tmp_path)).collect()]
+    assert len(rows) == 5 and {n for n, _, _ in rows} == {n for n in names if n is not None}
+    assert {n: how for n, _, how in rows} == {"NYC": "alias", "the big apple": "direct", "Phoenixx": "fuzzy", "Quindo Bay": "as_is", "": None}
