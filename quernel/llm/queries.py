@@ -109,8 +109,8 @@ def p8_soft(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _levels(spark: SparkSession, d: str) -> DataFrame:
-    model = train_on(table(spark, d, "reading_samples"), "sample_id", "text", "level")
     docs = table(spark, d, "documents").where(F.col("lang") == "en")
+    model = train_on(table(spark, d, "reading_samples"), "sample_id", "text", "level", styled=docs.select("doc_id", "text", "source"))
     return reading_level(docs, "doc_id", "text", model)
 
 

@@ -17,8 +17,8 @@ from quernel.llm.bpe import Transducer
 from quernel.llm.collapse import canonical, collapse
 from quernel.llm.mix import mixture
 from quernel.llm.percentiles import merge, percentiles, rank_error, sketches
-from quernel.llm.prose import features, sentences
-from quernel.llm.readlevel import ADVANCED, YEARS, Trees, reading_level, rising, train, train_on
+from quernel.llm.prose import FEATURES, features, features_of, sentences
+from quernel.llm.readlevel import ADVANCED, YEARS, Trees, _folds, alike, reading_level, rising, train, train_on
 from quernel.llm.terms import ngram_frequencies, term_marks
 from quernel.llm.tokens import VOCABULARY, decode_corpus, encode_corpus, with_token_counts
 from quernel.llm.topn import latest, top_n
@@ -252,11 +252,48 @@ def test_prose():
     assert [" ".join(s) for s in sentences(text)] == ["the van is old", "we clean it", "it is new clean"]
     assert [len(s) for s in sentences("You can save it\nWe have one\nThe cat is here")] == [4, 3, 4]
     assert [len(s) for s in sentences("You can save it and we\nhave one now.")] == [9]
-    for nothing in (None, "", "   \n\t", "```\ncode\n```", "- a b\n- c d", "🙂🙂", "ab" * 50_000, "0f3b9c" * 3000):
+    for nothing in (None, "", "   \n\t", "```\ncode\n```", "- a b\n- c d", "🙂🙂", "ab" * 50_000, "0f3b9c" * 3000, "SELECT a, b FROM t WHERE c = 1;", '{"a": [1, 2]}', "x.y.find({ z: 1 })", "E_17: pool gone after 17 tries (limit=3)"):
         assert features(nothing) is None
     assert features("word " * 200_000) is not None
 
 
+@pytest.mark.parametrize(
+    ("text", "kept"),
+    [
+        ("The **van** is _very_ old.", "the van is very old"),
+        ("It was pneumonoultramicroscopicsilicovolcanoconiosis again.", "it was pneumonoultramicroscopicsilicovolcanoconiosis again"),
+        ("We met at 8 a.m. in the hall.", "we met at in the hall"),
+        ("We met at 8 a.m. They left.", "we met at|they left"),
+        ("Dr. Lee came at noon, cf. page 4, and left.", "dr lee came at noon cf page and left"),
+        ("The tree (an oak (old) of the park) stands. It [sic] grows.", "the tree stands|it grows"),
+        ("The tree - an oak of the park - stands in the sun.", "the tree stands in the sun"),
+        ("The tree—an oak—stands.", "the tree stands"),
+        ("The result x->y of this small step is sent to all of them.", "the result of this small step is sent to all of them"),
+        ("Call `a.b()` first, then wait.", "call first then wait"),
+        ("<p data-x='" + "q" * 5000 + "'>It is new.</p>", "it is new"),
+        ("See [our page](https://x.example/a) now. It helps.", "see now|it helps"),
+        ("Set the WHERE part of each of your long queries with care.", "set the where part of each of your long queries with care"),
+        ("It is nooooooo fun at all.", "it is fun at all"),
+        ("one two; three four; Five six.", "one two three four|five six"),
+    ],
+)
+def test_prose_by_structure(text, kept):
+    assert "|".join(" ".join(s) for s in sentences(text)) == kept
+
+
+def test_figures_of_a_batch_are_those_of_each_text():
+    texts = [r["text"] for r in __import__("pyarrow.parquet").parquet.read_table(f"{DATA}/documents.parquet").to_pylist()]
+    has, found = features_of(texts)
+    alone = [features(t) for t in texts]
+    assert has.tolist() == [a is not None for a in alone] and np.allclose(found, np.array([a for a in alone if a is not None]))
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(99)]
+    same, other = features(" ".join(words) + "."), features(" ".join(words[:60] + words[59:60] * 39) + ".")
+    at = FEATURES.index("variety")
+    assert same[at] == 1.0 and other[at] < 0.7
+    clauses = dict(zip(FEATURES, features("We stay at home because it rains, and the cat sleeps. It is late.")))
+    assert clauses["clauses_mean"] == 2.0 and clauses["clause_mean"] == 14 / 4 and clauses["prepositions_share"] == 1 / 14
+
+
 def test_levels_of_held_out_samples(spark):
     rows = spark.read.parquet(f"{DATA}/reading_samples.parquet").orderBy("sample_id").collect()
     x, y = np.array([features(r.text) for r in rows]), np.array([YEARS[r.level] for r in rows])
@@ -267,6 +304,31 @@ def test_levels_of_held_out_samples(spark):
         assert right.mean() >= 0.95
 
 
+def test_levels_of_fresh_prose(spark):
+    """Texts in words that the graded texts don't use."""
+    model = train_on(spark.read.parquet(f"{DATA}/reading_samples.parquet"), "sample_id", "text", "level")
+    easy = "The dog ran home. It was wet. Mum gave it a rug. It sat by the fire. We all had soup. Then we went to bed."
+    hard = (
+        "Notwithstanding the considerable epistemological difficulties that accompany retrospective attribution, contemporary historiography increasingly acknowledges that institutional transformations, although frequently characterised as discontinuous, presuppose antecedent accommodations whose significance participants themselves could not necessarily articulate. "
+        "Consequently, comparative investigations that disregard the interdependence of administrative innovation and fiscal consolidation inadvertently perpetuate explanatory simplifications which the documentary evidence, when interpreted comprehensively, demonstrably contradicts."
+    )
+    has, x = features_of([easy, hard])
+    grades = model.grade(x)
+    assert has.all() and grades[0] < 7 and grades[1] >= ADVANCED
+
+
+def test_folds_hold_out_whole_sources():
+    years, sources = np.array([4.0, 9, 17] * 8), np.array(["a"] * 12 + ["b"] * 6 + ["c"] * 6, object)
+    for folds in (2, 10):
+        fold = _folds(years, sources, folds)
+        assert fold.max() + 1 == min(folds, 3) and all(len(set(fold[sources == s])) == 1 for s in "abc")
+    assert set(_folds(years, np.array(["a"] * 24, object), 5)) == set(range(5))
+    x = np.column_stack([years + np.arange(24) * 0.01, np.ones(24)])
+    assert set(train(x, years, sources).error) == {"a", "b", "c"}
+    assert alike(["red apple pie", "stone wall", ""], [("food", "apple pie and red jam"), ("house", "a wall of stone")]) == ["food", "house", "food"]
+    assert alike(["x"], []) == ["all"]
+
+
 def test_trees_and_steps():
     x = np.random.default_rng(1).random((300, 4))
     y = 3 * (x[:, 1] > 0.4) + x[:, 2]
