@@ -32,9 +32,10 @@ def p1_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_ngrams(spark: SparkSession, d: str) -> DataFrame:
-    """Every sequence of one to three terms of the product texts."""
-    found = ngram_frequencies(table(spark, d, "products"), "id", {"products.name": "name", "products.description": "description"}, sigma=3)
-    return found.select("field", "ngram", "occurrences", "records")
+    """Every sequence of one to three terms of the three fields."""
+    services = ngram_frequencies(table(spark, d, "services"), "id", {"services.description": "description"})
+    products = ngram_frequencies(table(spark, d, "products"), "id", {"products.name": "name", "products.description": "description"})
+    return services.unionByName(products).where(F.col("ngram") != "")
 
 
 def _day_sketches(spark: SparkSession, d: str) -> DataFrame:
@@ -135,6 +136,13 @@ _LATEST = "SELECT * FROM (SELECT DISTINCT query_id, table_name, access_count, la
 SQL = {
     "p1_found": _TEXTS + """, n AS (SELECT field, count(DISTINCT id) AS n FROM x WHERE t IS NOT NULL GROUP BY field)
         SELECT field, term, CASE WHEN records < 3 THEN 'rare' ELSE 'common' END AS mark FROM f JOIN n USING (field) WHERE records < 3 OR records >= n * 0.3""",
+    "p1_ngrams": """
+        WITH x AS (SELECT DISTINCT 'services.description' AS field, id, description AS t FROM services UNION ALL SELECT DISTINCT 'products.name', id, name FROM products
+                   UNION ALL SELECT DISTINCT 'products.description', id, description FROM products),
+        w AS (SELECT field, id, regexp_extract_all(lower(nfc_normalize(t)), '[\\p{L}\\p{Nd}]+') AS ws FROM x WHERE t IS NOT NULL),
+        p AS (SELECT field, id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+        g AS (SELECT field, id, array_to_string(ws[i:i + n - 1], ' ') AS ngram FROM p, (VALUES (1), (2), (3)) AS k(n) WHERE i + n - 1 <= len(ws))
+        SELECT field, ngram, count(*) AS occurrences, count(DISTINCT id) AS records FROM g GROUP BY field, ngram""",
     "p1_terms": _TEXTS + " SELECT field, term, occurrences, records FROM f",
     "p2_found": """
         WITH m AS (SELECT DISTINCT id, table_name, query_type, CAST(execution_time_ms AS DOUBLE) AS ms FROM query_log WHERE table_name IS NOT NULL AND execution_time_ms >= 0)

@@ -11,7 +11,7 @@ the next suffix no longer shares is complete, is emitted and adds to its parent.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,8 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from quernel.session import reader_partitions, ship
+from quernel.session import cut, reader_partitions, ship
 
+#: Terms of a suffix.
+SIGMA = 3
 #: Records whose sets one stack may have to hold.
 SLICE = 100_000
 
@@ -41,18 +43,20 @@ def terms_of(text: Column) -> Column:
 
 
 class _Stack:
-    """Counts and record sets of the prefixes of the current suffix; a set is arrays of record numbers, or a number where no prefixes are asked for."""
+    """Counts and record sets (arrays of record numbers) of the prefixes of the current suffix."""
 
-    def __init__(self) -> None:
+    def __init__(self, longest: int) -> None:
+        self.longest = longest
         self.frames: list[list] = []
         self.place: tuple[str, int] | None = None
         self.out: list[tuple[str, str, int, int]] = []
 
-    def add(self, place: tuple[str, int], suffix: str, count: int, records: np.ndarray | int) -> None:
+    def add(self, place: tuple[str, int], suffix: str, count: int, records: np.ndarray) -> None:
         terms = suffix.split(" ")
         shared = 0
         if place == self.place:
-            while shared < min(len(terms), len(self.frames)) and self.frames[shared][0] == terms[shared]:
+            most = min(len(terms), len(self.frames))
+            while shared < most and self.frames[shared][0] == terms[shared]:
                 shared += 1
         self.pop(shared)
         self.place = place
@@ -62,70 +66,71 @@ class _Stack:
 
     def pop(self, depth: int) -> None:
         while len(self.frames) > depth:
-            term, count, records = self.frames.pop()
-            held = np.unique(np.concatenate(records)) if isinstance(records[0], np.ndarray) else sum(records)
-            self.out.append((self.place[0], " ".join([f[0] for f in self.frames] + [term]), count, len(held) if isinstance(held, np.ndarray) else held))
+            term, count, sets = self.frames.pop()
+            records = sets[0] if len(sets) == 1 else np.unique(np.concatenate(sets))
+            if len(self.frames) < self.longest:
+                self.out.append((self.place[0], " ".join([f[0] for f in self.frames] + [term]), count, len(records)))
             if self.frames:
                 self.frames[-1][1] += count
-                self.frames[-1][2].append(held)
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffixes sorted by field, slice and descending text become counted prefixes."""
-    stack = _Stack()
-    names = ["field", "ngram", "occurrences", "records"]
-
-    def ready() -> pa.RecordBatch:
-        columns = list(zip(*stack.out)) or [[]] * 4
-        stack.out = []
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())], names)
-
-    for batch in batches:
-        field, piece, suffix, n = (batch.column(k).to_pylist() for k in range(4))
-        sets = batch.column(4)
-        if pa.types.is_list(sets.type) or pa.types.is_large_list(sets.type):
-            values, ends = sets.values.to_numpy(zero_copy_only=False), sets.offsets.to_numpy()
-            held = (values[a:b] for a, b in zip(ends[:-1], ends[1:]))
-        else:
-            held = sets.to_pylist()
-        for f, k, s, c, r in zip(field, piece, suffix, n, held):
-            stack.add((f, k), s, c, r)
-        if len(stack.out) > 50_000:
-            yield ready()
-    stack.pop(0)
-    yield ready()
-
-
-def ngram_frequencies(df: DataFrame, record: str, fields: dict[str, str], sigma: int = 1, slice_records: int = SLICE) -> DataFrame:
-    """Every sequence of 1 to ``sigma`` terms with its occurrences and records.
+                self.frames[-1][2].append(records)
+
+
+def _counter(longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Suffixes sorted by field, slice and descending text become counted prefixes of up to ``longest`` terms."""
+    kinds = {"field": pa.string(), "ngram": pa.string(), "occurrences": pa.int64(), "records": pa.int64()}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stack = _Stack(longest)
+
+        def ready() -> pa.RecordBatch:
+            columns = list(zip(*stack.out)) or [[]] * 4
+            stack.out = []
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values())], list(kinds))
+
+        for batch in batches:
+            field, piece, suffix, n = (batch.column(k).to_pylist() for k in range(4))
+            sets = batch.column(4)
+            values, ends = sets.values.to_numpy(zero_copy_only=False), sets.offsets.to_pylist()
+            for f, k, s, c, a, b in zip(field, piece, suffix, n, ends, ends[1:]):
+                stack.add((f, k), s, c, values[a:b])
+            if len(stack.out) > 50_000:
+                yield ready()
+        stack.pop(0)
+        yield ready()
+
+    return count
+
+
+def ngram_frequencies(df: DataFrame, record: str, fields: dict[str, str], sigma: int = SIGMA, longest: int | None = None, slice_records: int = SLICE) -> DataFrame:
+    """Every sequence of 1 to ``longest`` (default: ``sigma``) terms with its occurrences and records.
 
     ``fields`` maps a label to a text column. Columns: field, ngram (terms
     joined by a blank), occurrences, records. A record is a value of the column
-    ``record`` (null is one too); repeated rows count once, and of several
-    texts of one record in one field the greatest counts. Null texts are no
-    records of the field; empty ones are, without terms. Sequences never cross
-    texts. Nothing is cut: texts are read whole and all sequences come out.
-
-    A record's suffixes are sorted within its row, where the first of equal ones
-    stands for the record. Equal suffixes of a slice of records are combined
-    before they are routed; their record sets travel only where longer
-    sequences need them.
+    ``record`` (null is one too); equal texts of a record in a field count
+    once, different ones all count, in one record. Null texts are no records
+    of the field; empty ones are, without terms. The empty ngram has the
+    records of the field, and no occurrences. Sequences never cross texts.
+    Nothing is cut: texts are read whole and all sequences come out.
+
+    The table is read once (its rows are counted from its metadata to size the
+    slices). A text's suffixes are sorted within its row, where the first of
+    equal ones carries the record; equal suffixes of a slice of records are
+    combined with their record sets before they are routed.
     """
     spark = df.sparkSession
     ship(spark)
     slices = max(1, -(-df.count() // slice_records))
-    texts = df.groupBy(F.col(record).alias("_record")).agg(*[F.max(c).alias(f"_t{i}") for i, c in enumerate(fields.values())])
-    rows = texts.select("_record", F.explode(F.array(*[F.struct(F.lit(label).alias("field"), terms_of(F.col(f"_t{i}")).alias("terms")) for i, label in enumerate(fields)])).alias("t"))
-    rows = rows.select("_record", "t.field", "t.terms").where(F.size("terms") > 0)
-    suffixes = F.transform("terms", lambda t, i: F.array_join(F.slice("terms", i + 1, sigma), " ")) if sigma > 1 else F.col("terms")
+    texts = df.select(F.col(record).alias("_record"), F.inline(F.array(*[F.struct(F.lit(label).alias("field"), F.col(c).alias("_text")) for label, c in fields.items()])))
+    texts = texts.where(F.col("_text").isNotNull()).distinct()
     number = F.xxhash64("_record") if dict(df.dtypes)[record] not in ("bigint", "int", "smallint", "tinyint") else F.coalesce(F.col("_record").cast("long"), F.lit(-(1 << 63)))
     slice_ = F.pmod(F.xxhash64("_record"), F.lit(slices)).cast("int")
-    rows = rows.select("field", number.alias("number"), slice_.alias("slice"), F.array_sort(suffixes).alias("all")).select("field", "number", "slice", "all", F.posexplode("all").alias("at", "suffix"))
+    rows = texts.select("field", number.alias("number"), slice_.alias("slice"), terms_of(F.col("_text")).alias("terms"))
+    suffixes = F.transform("terms", lambda t, i: F.array_join(F.slice("terms", i + 1, sigma), " "))
+    rows = rows.select("field", "number", "slice", F.array_sort(F.concat(F.array(F.lit("")), suffixes)).alias("all")).select("field", "number", "slice", "all", F.posexplode("all").alias("at", "suffix"))
     first = (F.col("at") == 0) | (F.get("all", F.col("at") - 1) != F.col("suffix"))
-    sets = F.collect_list(F.when(first, F.col("number"))) if sigma > 1 else F.count_if(first)
-    combined = rows.groupBy("field", "slice", "suffix").agg(F.count(F.lit(1)).alias("n"), sets.alias("sets"))
+    combined = rows.groupBy("field", "slice", "suffix").agg(F.count_if(F.col("suffix") != "").alias("n"), F.collect_set(F.when(first, F.col("number"))).alias("sets"))
     routed = combined.repartition(reader_partitions(spark), F.col("field"), F.substring_index("suffix", " ", 1), F.col("slice")).sortWithinPartitions("field", "slice", F.desc("suffix"))
-    parts = routed.select("field", "slice", "suffix", "n", "sets").mapInArrow(_count, "field string, ngram string, occurrences bigint, records bigint")
+    parts = routed.select("field", "slice", "suffix", "n", "sets").mapInArrow(_counter(longest or sigma), "field string, ngram string, occurrences bigint, records bigint")
     return parts.groupBy("field", "ngram").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 
@@ -133,13 +138,14 @@ def term_marks(df: DataFrame, record: str, fields: dict[str, str], rare_below: i
     """``ngram_frequencies`` of single terms with ``mark``.
 
     The mark is 'rare' below ``rare_below`` records, else 'common' from
-    ``common_share`` of the field's records on, else null. The fields' record
-    counts are a handful of numbers and are put into the plan.
+    ``common_share`` of the field's records on, else null. The frequencies are
+    written once (a row a term); the fields' record counts, which are those of
+    the empty ngram, are read from there and put into the plan.
     """
-    held = df.groupBy(record).agg(*[F.max(F.col(c).isNotNull()).alias(f"_f{i}") for i, c in enumerate(fields.values())])
-    sizes = held.agg(*[F.count_if(f"_f{i}").alias(f"_f{i}") for i in range(len(fields))]).first()
+    found = cut(ngram_frequencies(df, record, fields, longest=1))
+    sizes = dict(found.where(F.col("ngram") == "").select("field", "records").collect())
     size = F.lit(None).cast("long")
-    for i, label in enumerate(fields):
-        size = F.when(F.col("field") == label, F.lit(sizes[i])).otherwise(size)
+    for label, n in sizes.items():
+        size = F.when(F.col("field") == label, F.lit(n)).otherwise(size)
     mark = F.when(F.col("records") < rare_below, "rare").when(F.col("records") >= size * common_share, "common")
-    return ngram_frequencies(df, record, fields).select("field", F.col("ngram").alias("term"), "occurrences", "records", mark.alias("mark"))
+    return found.where(F.col("ngram") != "").select("field", F.col("ngram").alias("term"), "occurrences", "records", mark.alias("mark"))

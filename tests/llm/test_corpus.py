@@ -12,14 +12,14 @@ import numpy as np
 import pytest
 import regex
 from pyspark.sql import functions as F
-from quernel.llm import queries as Q
+from quernel.llm import queries as Q, terms
 from quernel.llm.bpe import Transducer
 from quernel.llm.collapse import canonical, collapse
 from quernel.llm.mix import mixture
 from quernel.llm.percentiles import merge, percentiles, rank_error, sketches
 from quernel.llm.prose import FEATURES, features, features_of, sentences
 from quernel.llm.readlevel import ADVANCED, YEARS, Trees, _folds, alike, reading_level, rising, train, train_on
-from quernel.llm.terms import ngram_frequencies, term_marks
+from quernel.llm.terms import _Stack, ngram_frequencies, term_marks
 from quernel.llm.tokens import VOCABULARY, decode_corpus, encode_corpus, with_token_counts
 from quernel.llm.topn import latest, top_n
 
@@ -40,12 +40,9 @@ def test_runs(name, spark):
 
 
 def _brute_ngrams(rows, sigma):
-    texts = {}
-    for record, text in rows:
-        if text is not None:
-            texts[record] = max(text, texts.get(record, ""))
     count, held = Counter(), defaultdict(set)
-    for record, text in texts.items():
+    for record, text in {r for r in rows if r[1] is not None}:
+        held[""].add(record)
         words = regex.findall(r"[\p{L}\p{Nd}]+", unicodedata.normalize("NFC", text).lower())
         for i in range(len(words)):
             for n in range(1, sigma + 1):
@@ -53,25 +50,37 @@ def _brute_ngrams(rows, sigma):
                     gram = " ".join(words[i : i + n])
                     count[gram] += 1
                     held[gram].add(record)
-    return {g: (c, len(held[g])) for g, c in count.items()}
+    return {g: (count[g], len(held[g])) for g in held}
 
 
-@pytest.mark.parametrize(("sigma", "size"), [(1, 100_000), (1, 7), (3, 100_000), (3, 7)])
-def test_ngrams(spark, sigma, size):
+@pytest.mark.parametrize(("sigma", "longest", "size"), [(1, 1, 7), (3, 1, 100_000), (3, 3, 100_000), (3, 2, 7), (3, 3, 7)])
+def test_ngrams(spark, sigma, longest, size):
     draw = random.Random(sigma)
     words = ["a", "ab", "abc", "Été", "été", "x1", "the", "the", "the", "漢字", "B_C", "ß"]
     rows = [(i % 40, " ".join(draw.choices(words, k=draw.randint(0, 12)))) for i in range(60)]
-    rows += [(100, None), (101, ""), (102, " ,;_ "), (None, "the end"), (103, "the " * 5000), rows[0]]
-    df = spark.createDataFrame(rows, "id long, t string").withColumn("field", F.lit("clash"))
-    got = ngram_frequencies(df, "id", {"f": "t"}, sigma, size)
-    assert {r.ngram: (r.occurrences, r.records) for r in got.collect()} == _brute_ngrams(rows, sigma)
+    rows += [(100, None), (101, ""), (102, " ,;_ "), (None, "the end"), (103, "the " * 5000), (104, "the one"), (104, "the two"), rows[0]]
+    df = spark.createDataFrame(rows, "id long, t string").withColumn("field", F.lit("clash")).withColumn("number", F.lit("clash"))
+    got = ngram_frequencies(df, "id", {"f": "t"}, sigma, longest, size)
+    assert {r.ngram: (r.occurrences, r.records) for r in got.collect()} == _brute_ngrams(rows, longest)
 
 
-def test_marks(spark):
+def test_stack_adds_prefixes_up():
+    """Single terms come out of the stack only as prefixes of longer suffixes: the term x is never added itself."""
+    stack = _Stack(1)
+    for suffix, n, records in [("y z", 1, [7]), ("x y z", 2, [1, 2]), ("x y a", 1, [2]), ("x b", 3, [2, 3])]:
+        stack.add(("f", 0), suffix, n, np.array(records))
+    stack.pop(0)
+    assert stack.out == [("f", "y", 1, 1), ("f", "x", 6, 3)]
+
+
+def test_marks(spark, monkeypatch):
     rows = [(i, "all" + (" few" if i < 2 else " some" if i < 5 else "")) for i in range(20)] + [(30, ""), (31, None)]
-    got = term_marks(spark.createDataFrame(rows, "id long, t string"), "id", {"f": "t"})
+    df = spark.createDataFrame(rows, "id long, t string")
+    got = term_marks(df, "id", {"f": "t"})
     assert {r.term: (r.records, r.mark) for r in got.collect()} == {"all": (20, "common"), "few": (2, "rare"), "some": (3, None)}
-    assert term_marks(spark.createDataFrame([], "id long, t string"), "id", {"f": "t"}).count() == 0
+    assert term_marks(df.limit(0), "id", {"f": "t"}).count() == 0
+    monkeypatch.setattr(terms, "_counter", lambda longest: lambda batches: iter(()))
+    assert term_marks(df, "id", {"f": "t"}).count() == 0, "terms that come by another way than the stack"
 
 
 # Percentiles
