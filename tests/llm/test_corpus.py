@@ -21,7 +21,7 @@ from quernel.llm.prose import FEATURES, features, features_of, sentences
 from quernel.llm.readlevel import ADVANCED, YEARS, Trees, _folds, alike, reading_level, rising, train, train_on
 from quernel.llm.terms import _Stack, ngram_frequencies, term_marks
 from quernel.llm.tokens import VOCABULARY, decode_corpus, encode_corpus, with_token_counts
-from quernel.llm.topn import latest, top_n
+from quernel.llm.topn import cluster, latest, top_n
 
 DATA = "/root/testdata/sf0.001"
 
@@ -158,20 +158,57 @@ def test_collapse(spark):
 # Best of groups
 
 
-@pytest.mark.parametrize("size", [1 << 20, 1])
-def test_top_n(spark, size):
-    draw = random.Random(6)
-    rows = [(draw.choice(["hot", "hot", "hot", "a", "b", "ü", None]), draw.choice([None, draw.randint(0, 30)]), draw.choice([None, draw.randint(0, 5)]), f"q{i}") for i in range(4000)]
-    df = spark.createDataFrame(rows, "g string, s int, w int, q string").withColumn("rank", F.lit("clash"))
-    got = top_n(df, "g", "s", [("w", False), ("q", True)], 5, size)
+def _items(seed, n=4000, high=30):
+    draw = random.Random(seed)
+    return [(draw.choice(["hot", "hot", "hot", "a", "b", "ü", f"s{draw.randint(0, 40)}", None]), draw.choice([None, draw.randint(0, high)]), draw.choice([None, draw.randint(0, 5)]), f"q{seed}-{i}") for i in range(n)]
+
+
+def _best(rows, n):
     want = set()
     for g in {r[0] for r in rows} - {None}:
         mine = sorted((r for r in rows if r[0] == g and r[1] is not None), key=lambda r: (-r[1], r[2] is None, -(r[2] or 0), r[3]))
-        want |= {(*r, k) for k, r in enumerate(mine[:5], 1)}
-    assert {(r.g, r.s, r.w, r.q, r["rank"]) for r in got.collect()} == want
+        want |= {(*r, k) for k, r in enumerate(mine[:n], 1)}
+    return want
+
+
+@pytest.mark.parametrize("size", [512, 1])
+def test_top_n(spark, size):
+    rows = _items(6)
+    df = spark.createDataFrame(rows, "g string, s int, w int, q string").withColumn("rank", F.lit("clash"))
+    got = top_n(df, "g", "s", [("w", False), ("q", True)], 5, size)
+    assert {(r.g, r.s, r.w, r.q, r["rank"]) for r in got.collect()} == _best(rows, 5)
     assert top_n(df.limit(0), "g", "s", [("q", True)], 5).count() == 0
 
 
+def test_row_groups_are_skipped(spark):
+    """In one run and in two: what is skipped holds no result, and with two runs row groups of many groups go too."""
+    names, ties = "g string, s int, w int, q string", [("w", False), ("q", True)]
+    rows, low = _items(7, high=10**6), [(g, -1 - i % 50, 0, f"l{i}") for i, g in enumerate(["hot", "a", "b", "ü"] * 800)]
+    one = cluster(spark.createDataFrame(rows, names), "g", "s", ties, 5, 50)
+    both = one.add(spark.createDataFrame(low, names), 1000)
+    for held, items in ((one, rows), (both, rows + low)):
+        for n in (1, 5, 9):
+            every = {(r.file, r.row_group, r.group): (r.low, r.high) for r in held.directory.collect()}
+            kept = {(r.file, r.row_group) for r in held.kept(n).collect()}
+            skipped = {k: v for k, v in every.items() if k[:2] not in kept}
+            assert len({k[:2] for k in skipped}) > 3
+            best = _best(items, n)
+            assert {(r.g, r.s, r.w, r.q, r["rank"]) for r in held.top_n(n).collect()} == best
+            least = {g: min(s for h, s, *_ in best if h == g) for g in {r[0] for r in best}}
+            assert all(high < least[g] for (_, _, g), (_, high) in skipped.items())
+    groups = Counter(k[:2] for k in skipped)
+    assert max(groups.values()) > 1, "row groups of several groups"
+
+
+def test_top_n_of_odd_scores(spark):
+    rows = [("a", float("nan"), 1), ("a", 2.0, 2), ("a", float("inf"), 3), ("a", float("-inf"), 4), ("b", float("nan"), 5), ("c", None, 6), ("d", 1.0, 7), ("d", 1.0, 7)]
+    got = top_n(spark.createDataFrame(rows, "g string, s double, i int"), "g", "s", [("i", True)], 2)
+    assert sorted((r.g, r.s, r.i, r["rank"]) for r in got.collect()) == [("a", 2.0, 2, 2), ("a", float("inf"), 3, 1), ("d", 1.0, 7, 1), ("d", 1.0, 7, 2)]
+    other = spark.range(3000).select((F.col("id") % 3).alias("g"), F.col("id").cast("decimal(20,2)").alias("s"), F.timestamp_seconds("id").alias("t"), F.lit("x" * 3000).alias("text"))
+    got = top_n(other, "g", "s", [("t", True), ("text", True)], 2)
+    assert sorted((r.g, int(r.s)) for r in got.collect()) == [(0, 2994), (0, 2997), (1, 2995), (1, 2998), (2, 2996), (2, 2999)]
+
+
 def test_latest(spark):
     df = spark.createDataFrame([("a", 1, 5), ("a", 2, None), ("b", None, 1), ("b", 1, 2), ("b", 1, 2)], "k string, t int, v int")
     assert {(r.k, r.t, r.v) for r in latest(df, "k", "t").collect()} == {("a", 2, None), ("b", 1, 2)}
