@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -88,11 +89,19 @@ def _counter(longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values())], list(kinds))
 
         for batch in batches:
-            field, piece, suffix, n = (batch.column(k).to_pylist() for k in range(4))
-            sets = batch.column(4)
-            values, ends = sets.values.to_numpy(zero_copy_only=False), sets.offsets.to_pylist()
-            for f, k, s, c, a, b in zip(field, piece, suffix, n, ends, ends[1:]):
-                stack.add((f, k), s, c, values[a:b])
+            if not batch.num_rows:
+                continue
+            new = np.ones(batch.num_rows, bool)
+            new[1:] = np.logical_or.reduce([pc.not_equal(batch.column(k)[1:], batch.column(k)[:-1]).to_numpy(zero_copy_only=False) for k in range(3)])
+            numbers = batch.column(3).to_numpy()
+            starts = np.flatnonzero(new)
+            other = new.copy()
+            other[1:] |= numbers[1:] != numbers[:-1]
+            sets, ends = numbers[other], np.cumsum(other)[np.append(starts[1:], batch.num_rows) - 1].tolist()
+            sizes = np.diff(np.append(starts, batch.num_rows)).tolist()
+            field, piece, suffix = (batch.column(k).take(pa.array(starts)).to_pylist() for k in range(3))
+            for f, k, s, c, a, b in zip(field, piece, suffix, sizes, [0, *ends[:-1]], ends):
+                stack.add((f, k), s, c if s else 0, sets[a:b])
             if len(stack.out) > 50_000:
                 yield ready()
         stack.pop(0)
@@ -113,9 +122,8 @@ def ngram_frequencies(df: DataFrame, record: str, fields: dict[str, str], sigma:
     Nothing is cut: texts are read whole and all sequences come out.
 
     The table is read once (its rows are counted from its metadata to size the
-    slices). A text's suffixes are sorted within its row, where the first of
-    equal ones carries the record; equal suffixes of a slice of records are
-    combined with their record sets before they are routed.
+    slices); each suffix goes once to where its first term and its slice of
+    records are sorted, and only counts leave there.
     """
     spark = df.sparkSession
     ship(spark)
@@ -126,11 +134,10 @@ def ngram_frequencies(df: DataFrame, record: str, fields: dict[str, str], sigma:
     slice_ = F.pmod(F.xxhash64("_record"), F.lit(slices)).cast("int")
     rows = texts.select("field", number.alias("number"), slice_.alias("slice"), terms_of(F.col("_text")).alias("terms"))
     suffixes = F.transform("terms", lambda t, i: F.array_join(F.slice("terms", i + 1, sigma), " "))
-    rows = rows.select("field", "number", "slice", F.array_sort(F.concat(F.array(F.lit("")), suffixes)).alias("all")).select("field", "number", "slice", "all", F.posexplode("all").alias("at", "suffix"))
-    first = (F.col("at") == 0) | (F.get("all", F.col("at") - 1) != F.col("suffix"))
-    combined = rows.groupBy("field", "slice", "suffix").agg(F.count_if(F.col("suffix") != "").alias("n"), F.collect_set(F.when(first, F.col("number"))).alias("sets"))
-    routed = combined.repartition(reader_partitions(spark), F.col("field"), F.substring_index("suffix", " ", 1), F.col("slice")).sortWithinPartitions("field", "slice", F.desc("suffix"))
-    parts = routed.select("field", "slice", "suffix", "n", "sets").mapInArrow(_counter(longest or sigma), "field string, ngram string, occurrences bigint, records bigint")
+    # never empty, and outer so that no filter on it is inferred, which would compose and cut the texts twice
+    rows = rows.select("field", "slice", "number", F.explode_outer(F.concat(F.array(F.lit("")), suffixes)).alias("suffix"))
+    routed = rows.repartition(reader_partitions(spark), F.col("field"), F.substring_index("suffix", " ", 1), F.col("slice")).sortWithinPartitions("field", "slice", F.desc("suffix"), "number")
+    parts = routed.select("field", "slice", "suffix", "number").mapInArrow(_counter(longest or sigma), "field string, ngram string, occurrences bigint, records bigint")
     return parts.groupBy("field", "ngram").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 
