@@ -85,8 +85,8 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "ids")
 
 
-def _mixture(spark: SparkSession, d: str, adopt: bool = False):
-    return mixture(table(spark, d, "documents"), "doc_id", "text", "source", table(spark, d, "mix_weights"), adopt)
+def _mixture(spark: SparkSession, d: str):
+    return mixture(table(spark, d, "documents"), "doc_id", "text", "source", table(spark, d, "mix_weights"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -100,13 +100,8 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
-    """The number of copies of every document in the mixture."""
-    return _mixture(spark, d).records.select("doc_id", "source", "n_tokens", "rate", "copies")
-
-
-def p8_soft(spark: SparkSession, d: str) -> DataFrame:
-    """Shares when documents without a source take part with their posteriors."""
-    return _mixture(spark, d, adopt=True).shares
+    """The rate and copies of every document in the mixture, and how surely it belongs to its likeliest source."""
+    return _mixture(spark, d).records.select("doc_id", "source", "n_tokens", F.array_max("posterior").alias("surest"), "rate", "copies")
 
 
 def _levels(spark: SparkSession, d: str) -> DataFrame:
@@ -125,7 +120,7 @@ def p9_levels(spark: SparkSession, d: str) -> DataFrame:
     return _levels(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p1_ngrams, p2_found, p2_percentiles, p4_found, p4_kept, p5_found, p7_ids, p8_found, p8_shares, p8_mixture, p8_soft, p9_found, p9_levels)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p1_ngrams, p2_found, p2_percentiles, p4_found, p4_kept, p5_found, p7_ids, p8_found, p8_shares, p8_mixture, p9_found, p9_levels)}
 
 _TEXTS = """
         WITH x AS (SELECT DISTINCT 'services.description' AS field, id, description AS t FROM services UNION ALL SELECT DISTINCT 'products.name', id, name FROM products

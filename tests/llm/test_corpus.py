@@ -274,10 +274,36 @@ def test_mixture(spark, reference):
         assert r.available == size[r.source] and abs(r.target - target) < 1e-6 * total
         assert r.capped == (size[r.source] * listed[r.source][1] < target)
         assert abs(r.reached - min(target, size[r.source] * listed[r.source][1])) < 1e-4 * total
+        assert r.settled and r.steps <= 200
     assert all(0 <= r.copies <= r.cap for r in found.records.collect())
-    soft = mixture(docs, "doc_id", "text", "source", weights, adopt=True).records
-    assert soft.where("source is null").count() == docs.where("source is null").count()
-    assert soft.where("abs(aggregate(posterior, 0D, (a, b) -> a + b) - 1) > 1e-9").count() == 0
+    records = found.records
+    assert records.where("source is null").count() == docs.where("source is null").count()
+    assert records.where("abs(aggregate(posterior, 0D, (a, b) -> a + b) - 1) > 1e-9").count() == 0
+    assert mixture(docs, "doc_id", "text", "source", weights, adopt=False).records.where("source is null").count() == 0
+
+
+def test_planted_soft_sources(spark):
+    """Records without a source fill up the small source whose words they use; the totals come within 2 % of the targets."""
+    draw = random.Random(9)
+    words = {s: [f"{s}{draw.randint(100, 999)}" for _ in range(60)] for s in "abc"}
+    common = [f"w{i}" for i in range(60)]
+    said = lambda s: " ".join(draw.choices(words[s] + common, k=40))
+    rows = [(said("a"), "a") for _ in range(300)] + [(said("b"), "b") for _ in range(300)] + [(said("c"), "c") for _ in range(40)]
+    rows += [(said(s), None) for s in "ccccccab" * 40]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, text string, source string")
+    weights = spark.createDataFrame([(s, 1.0, 1) for s in "abc"], "source string, weight double, max_repeats int")
+    found = mixture(docs, "id", "text", "source", weights)
+    shares = {r.source: r for r in found.shares.collect()}
+    assert [s for s in "abc" if shares[s].capped] == ["c"] and all(r.settled for r in shares.values())
+    for r in shares.values():
+        assert abs(r.reached + r.adopted - r.target) <= 0.02 * r.target
+        assert abs(r.share - r.target_share) <= 0.05
+    soft = {r.id: (r.posterior, r.rate) for r in found.records.where("source is null").collect()}
+    kind = dict(enumerate(r[0][0] for r in [(next(w for w in t.split() if w[0] in "abc"), None) for t, _ in rows]))
+    right = sum(max(range(3), key=lambda k: p[k]) == "abc".index(kind[i]) for i, (p, _) in soft.items())
+    assert right >= 0.95 * len(soft)
+    mean = lambda s: np.mean([r for i, (_, r) in soft.items() if kind[i] == s])
+    assert mean("c") > 5 * max(mean("a"), mean("b"))
 
 
 def test_odd_mixtures(spark):
