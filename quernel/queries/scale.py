@@ -22,13 +22,25 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return running_records(rows, ["table_name", "day"], ["logged_ms", "id"], "execution_time_ms").select("table_name", "id")
 
 
-def p3_quantiles(spark: SparkSession, d: str) -> DataFrame:
+def p3_cut(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of p3_found with keys cut into leaves of 64 rows, so that cutting is at work at every scale."""
+    rows = _measured(spark, d).select("table_name", "id", "logged_ms", "execution_time_ms")
+    rows = rows.withColumn("day", F.floor(F.col("logged_ms") / 86_400_000))
+    return running_records(rows, ["table_name", "day"], ["logged_ms", "id"], "execution_time_ms", block_rows=64).select("table_name", "id")
+
+
+def p3_quantiles(spark: SparkSession, d: str, small: int = 20_000) -> DataFrame:
     """Exact median and 90th percentile of the time per table."""
     rows = cut(_measured(spark, d).select("id", "table_name", "execution_time_ms").distinct().drop("id"))
-    found = exact_quantiles(rows, ["table_name"], "execution_time_ms", [0.5, 0.9])
+    found = exact_quantiles(rows, ["table_name"], "execution_time_ms", [0.5, 0.9], small=small)
     return found.select("table_name", F.col("prob").alias("prob"), F.col("value").cast("double").alias("value"), F.col("n").alias("n"))
 
 
+def p3_quantiles_refined(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of p3_quantiles with tables of over 100 rows refined, so that refinement is at work at every scale."""
+    return p3_quantiles(spark, d, 100)
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents at most 0.2 km apart, and the buckets that hold each document."""
     points = table(spark, d, "geo_documents").select(F.col("geo_id").alias("id"), "location.lat", "location.lng")
@@ -38,7 +50,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return near_and_within(points, regions, 0.2).select("kind", F.col("id").alias("geo_id"), "other_id")
 
 
-QUERIES = {"p3_found": p3_found, "p3_quantiles": p3_quantiles, "p6_found": p6_found}
+QUERIES = {f.__name__: f for f in (p3_found, p3_cut, p3_quantiles, p3_quantiles_refined, p6_found)}
 
 _MEASURED = "SELECT DISTINCT id, table_name, logged_ms, execution_time_ms AS ms FROM query_log WHERE table_name IS NOT NULL AND execution_time_ms >= 0"
 SQL = {
@@ -65,3 +77,4 @@ SQL = {
         SELECT 'bucket', geo_id, bucket_no FROM g JOIN b
           ON 12742.0 * asin(least(1.0, sqrt(sin(radians(g.lat - b.lat) / 2) ** 2 + cos(radians(g.lat)) * cos(radians(b.lat)) * sin(radians(g.lng - b.lng) / 2) ** 2))) <= km""",
 }
+SQL["p3_cut"], SQL["p3_quantiles_refined"] = SQL["p3_found"], SQL["p3_quantiles"]

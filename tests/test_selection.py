@@ -9,6 +9,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from quernel.operators import selection
 from quernel.operators.selection import exact_quantiles, running_records
 from quernel.operators.skew import salted_join
 
@@ -42,6 +43,21 @@ def test_quantiles_of_doubles_decimals_and_nothing(spark):
     assert exact_quantiles(rows.limit(0), ["k"], "v", [0.5]).count() == 0
 
 
+def test_quantiles_of_any_doubles(spark):
+    draw = random.Random(8)
+    values = [math.inf, -math.inf, 0.0, 5e-324, -5e-324, 1.7e308, -1.7e308] * 3 + [draw.choice([-1, 1]) * draw.random() * 10.0 ** draw.randint(-307, 307) for _ in range(3000)] + [1.0 + k * 2**-52 for k in range(500)]
+    rows = spark.createDataFrame([("x", v) for v in values] + [("x", float("nan")), ("y", float("nan"))], "k string, v double")
+    probs = [0.0, 0.001, 0.3, 0.5, 0.55, 0.999, 1.0]
+    found = {(r.k, r.prob): (r.value, r.n) for r in exact_quantiles(rows, ["k"], "v", probs, bins=1024, small=5).collect()}
+    assert found == {("x", p): (sorted(values)[max(1, math.ceil(p * len(values))) - 1], len(values)) for p in probs}
+
+
+def test_what_does_not_resolve_raises(spark, monkeypatch):
+    monkeypatch.setattr(selection, "MAX_ROUNDS", 1)
+    with pytest.raises(RuntimeError):
+        exact_quantiles(spark.range(5000).select(F.lit("x").alias("k"), "id"), ["k"], "id", [0.5], bins=4, small=10)
+
+
 def _records(rows: list[tuple]) -> set[tuple]:
     out, most = set(), {}
     for k, t, i, v in sorted((r for r in set(rows) if None not in r), key=lambda r: (r[1], r[2])):
