@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+import logging
+import threading
 import time
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark import InheritableThread
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +22,11 @@ from quernel.operators import cluster, geosearch, index, mutations, places, read
 from quernel.plans.filter_model import compile_model, is_model, options_of, plain_filters, split_place
 from quernel.plans.names import camel_columns, to_snake
 from quernel.plans.predicates import Compiler
-from quernel.session import new_path
+from quernel.session import cut, new_path
 from quernel.sources.readers import cast_read, healthy
 
+_log = logging.getLogger(__name__)
+
 
 class Engine:
     """``engine.orders``, ``engine["orders"]``, ``engine("orders")`` and ``engine.table("orders")`` are the same table.
@@ -35,8 +40,11 @@ class Engine:
         self.hooks, self.cache, self.clock = Hooks(), Cache(self.catalog, self.settings, clock), clock
         self.held: dict[str, mutations.VersionedTable] = {}
         self.queries: list[dict] = []
+        self._asked: dict[str, object] = {}
+        self._warming: threading.Event | None = None
         self.indexes: dict[str, tuple[int, DataFrame]] = {}
-        self.buckets: dict[str, DataFrame] = {}
+        self.buckets: dict[str, tuple[int, DataFrame]] = {}
+        self.geo_indexes: dict[str, tuple[int, DataFrame]] = {}
 
     def register(self, name: str, df: DataFrame, cast: bool = True) -> Table:
         """Make a frame a table; declared flag and JSON columns are cast."""
@@ -105,6 +113,7 @@ class Engine:
     def _track(self, table: str, operation: str, filters: object, began: float, hit: bool, error: str | None = None, correlation: str | None = None) -> None:
         text = json.dumps(filters, sort_keys=True, default=repr)
         query = hashlib.sha256(f"{table}:{operation}:{text}".encode()).hexdigest()[:32]
+        self._asked[query] = filters
         self.queries.append({"id": len(self.queries) + 1, "query_id": query, "table_name": table, "query_type": operation, "filters": text, "execution_time_ms": float(self.clock() - began) * 1000, "cache_hit": hit, "logged_ms": int(time.time() * 1000), "error": error, "correlation_id": correlation})
 
     def log(self, correlation: str | None = None) -> DataFrame:
@@ -114,21 +123,45 @@ class Engine:
 
     def clear_queries(self, correlation: str | None = None) -> None:
         self.queries = [q for q in self.queries if correlation is not None and q["correlation_id"] != correlation]
+        held = {q["query_id"] for q in self.queries}
+        self._asked = {k: v for k, v in self._asked.items() if k in held}
 
     def warm(self, limit: int = 10, at_least: int = 1) -> dict[str, object]:
         """Run the most asked findMany queries of each table again and keep them; the report has how many, and the hit rate before."""
-        counts: dict[tuple[str, str], int] = {}
+        counts: dict[str, int] = {}
+        table_of: dict[str, str] = {}
         for q in self.queries:
             if q["query_type"] == "findMany" and q["table_name"] in self.held:
-                counts[q["table_name"], q["filters"]] = counts.get((q["table_name"], q["filters"]), 0) + 1
+                counts[q["query_id"]] = counts.get(q["query_id"], 0) + 1
+                table_of[q["query_id"]] = q["table_name"]
         before, done = self.cache.stats()["hit_rate"], 0
         for name in self.tables():
-            asked = sorted(((n, f) for (t, f), n in counts.items() if t == name and n >= at_least), key=lambda x: (-x[0], x[1]))[:limit]
-            for _, text in asked:
-                spec = json.loads(text)
+            asked = sorted(((n, q) for q, n in counts.items() if table_of[q] == name and n >= at_least), key=lambda x: (-x[0], x[1]))[:limit]
+            for _, query in asked:
+                spec = self._asked[query]
                 self.table(name).find_many(spec["where"], cache=True, ttl=self.settings.warm_ttl, **spec["options"]).count()
                 done += 1
-        return {"warmed": done, "hit_rate_before": before}
+        return {"warmed": done, "hit_rate_before": before, "hit_rate_after": self.cache.stats()["hit_rate"]}
+
+    def start_warming(self, every: float = 60.0, limit: int = 10, at_least: int = 1) -> None:
+        """``warm`` every so many seconds on a thread of its own, in the scheduler pool 'warming', until ``stop_warming`` or ``close``; a failed run is logged and the next one comes."""
+        self.stop_warming()
+        stop = self._warming = threading.Event()
+
+        def run() -> None:
+            self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", "warming")
+            while not stop.wait(every):
+                try:
+                    self.warm(limit, at_least)
+                except Exception:
+                    _log.exception("warming failed")
+
+        InheritableThread(target=run, daemon=True).start()
+
+    def stop_warming(self) -> None:
+        if self._warming is not None:
+            self._warming.set()
+            self._warming = None
 
     def build_all_indexes(self) -> dict[str, str]:
         """Index every table with declared search fields; what failed is told by table."""
@@ -142,6 +175,7 @@ class Engine:
         return failed
 
     def close(self) -> None:
+        self.stop_warming()
         self.cache.clear()
 
 
@@ -201,7 +235,6 @@ class Table:
             engine._track(self.name, operation, params, began, False, str(wrong), correlation)
             raise
         engine._track(self.name, operation, params, began, hit, None, correlation)
-        engine.hooks.run_after(self.name, operation, found)
         return found
 
     def find_many(self, where: Mapping | None = None, select: Sequence[str] | None = None, order_by: object = None, limit: int | None = None, offset: int | None = None, with_relations: bool | Mapping | None = None, depth: int = 1, group_by: str | None = None, cache: bool = False, ttl: float | None = None, correlation_id: str | None = None) -> DataFrame:
@@ -221,30 +254,44 @@ class Table:
             rows = self.filtered(where)
             if options.get("group_by"):
                 return reads.grouped(rows, options["group_by"])
-            cut = (options.get("limit") or 0) > 0 or options.get("offset")
-            order = reads.order_columns(rows, options.get("order_by"), self.key if cut else ())
+            paging = (options.get("limit") or 0) > 0 or options.get("offset")
+            order = reads.order_columns(rows, options.get("order_by"), self.key if paging else ())
             rows = reads.paged(rows, order, options.get("limit"), options.get("offset"))
             rows = relations.attach(rows, self.name, self.engine.catalog, self._other, options.get("with_relations") or False, depth)
             extra = [c for c in rows.columns if c not in self.df.columns]
             rows = reads.project(rows, [*options["select"], *extra] if options.get("select") else None)
             return camel_columns(rows) if self.engine.settings.case_conversion else rows
 
-        return self._read("findMany", where, options, make, cache, ttl, correlation_id)
+        return self._after("findMany", self._read("findMany", where, options, make, cache, ttl, correlation_id))
 
     def find_one(self, where: Mapping | None = None, **options: object) -> Row | None:
         where = self.engine.hooks.run_before(self.name, "findOne", where)
-        return self.find_many(where, **{**options, "limit": 1}).first()
+        return self._after("findOne", self.find_many(where, **{**options, "limit": 1}).first())
+
+    def by_id(self, value: object) -> dict[str, object]:
+        """The filter of one whole key: a value, or a tuple or mapping of all its columns; part of a key raises."""
+        if isinstance(value, Mapping):
+            if set(value) != set(self.key):
+                raise ValueError(f"the key of {self.name} is {', '.join(self.key)}")
+            return {c: value[c] for c in self.key}
+        values = value if isinstance(value, tuple) else (value,)
+        if len(values) != len(self.key):
+            raise ValueError(f"the key of {self.name} is {', '.join(self.key)}")
+        return dict(zip(self.key, values))
 
     def find_by_id(self, value: object, cache: bool = True) -> Row | None:
-        value = self.engine.hooks.run_before(self.name, "findById", value)
-        values = value if isinstance(value, tuple) else (value,)
-        where = dict(zip(self.key, values, strict=True))
-        return self._read("findById", where, {}, lambda: self.filtered(where).limit(1), cache, None, None).first()
+        """The row of one key, or None."""
+        where = self.by_id(self.engine.hooks.run_before(self.name, "findById", value))
+        return self._after("findById", self._read("findById", where, {}, lambda: self.filtered(where).limit(1), cache, None, None).first())
+
+    def _after(self, operation: str, result: object) -> object:
+        self.engine.hooks.run_after(self.name, operation, result)
+        return result
 
     def count(self, where: Mapping | None = None, cache: bool = True) -> int:
         where = self.engine.hooks.run_before(self.name, "count", where)
         ttl = min(self.engine.settings.default_ttl, self.engine.settings.count_ttl)
-        return self._read("count", where, {}, lambda: reads.counted(self.filtered(where)), cache, ttl, None).first().n
+        return self._after("count", self._read("count", where, {}, lambda: reads.counted(self.filtered(where)), cache, ttl, None).first().n)
 
     def page(self, where: Mapping | None = None, order_by: object = None, limit: int = 20, offset: int = 0) -> DataFrame:
         """A page with total and has_more."""
@@ -257,19 +304,19 @@ class Table:
         held.df.createOrReplaceTempView(self.name)
         self.engine.cache.invalidate(self.name)
 
-    def insert_many(self, rows: Sequence[Mapping]) -> DataFrame:
-        """The rows with their keys; columns are those of the first row. No rows: nothing happens."""
-        rows = self.engine.hooks.run_before(self.name, "insertMany", rows)
+    def _insert(self, rows: Sequence[Mapping]) -> DataFrame:
         if not rows:
             return self.df.limit(0)
-        after, new = mutations.insert(self.df, mutations.rows_frame(self.df, rows), self.key[0])
+        after, new = mutations.insert(self.df, mutations.rows_frame(self.df, rows), self.key[0] if len(self.key) == 1 else None)
         self._wrote(after)
-        self.engine.hooks.run_after(self.name, "insertMany", new)
         return new
 
+    def insert_many(self, rows: Sequence[Mapping]) -> DataFrame:
+        """The rows with their keys (a key of several columns is never made up); columns are those of the first row. No rows: nothing happens."""
+        return self._after("insertMany", self._insert(self.engine.hooks.run_before(self.name, "insertMany", rows)))
+
     def insert_one(self, row: Mapping) -> Row:
-        row = self.engine.hooks.run_before(self.name, "insertOne", row)
-        return self.insert_many([row]).first()
+        return self._after("insertOne", self._insert([self.engine.hooks.run_before(self.name, "insertOne", row)]).first())
 
     def _test(self, where: Mapping | None, all_rows: bool) -> Column:
         test = self._condition(where)
@@ -277,44 +324,51 @@ class Table:
             raise ValueError("an empty filter would touch every row; pass all_rows=True")
         return F.lit(True) if test is None else test
 
-    def update_many(self, where: Mapping | None, patch: Mapping, all_rows: bool = False) -> int:
-        """How many rows got the patch."""
-        patch = self.engine.hooks.run_before(self.name, "updateMany", patch)
+    def _update(self, where: Mapping | None, patch: Mapping, all_rows: bool = False) -> int:
         test = self._test(where, all_rows)
         n = self.df.where(test).count()
         if n:
             self._wrote(mutations.update(self.df, test, patch))
-        self.engine.hooks.run_after(self.name, "updateMany", n)
         return n
 
+    def update_many(self, where: Mapping | None, patch: Mapping, all_rows: bool = False) -> int:
+        """How many rows got the patch."""
+        patch = self.engine.hooks.run_before(self.name, "updateMany", patch)
+        return self._after("updateMany", self._update(where, patch, all_rows))
+
     def update_one(self, where: Mapping | None, patch: Mapping, all_rows: bool = False) -> Mapping | None:
         """The patch if any row matched, else None. Like the other writes, it changes every row that matches."""
         patch = self.engine.hooks.run_before(self.name, "updateOne", patch)
-        return patch if self.update_many(where, patch, all_rows) else None
+        return self._after("updateOne", patch if self._update(where, patch, all_rows) else None)
 
     def update_by_id(self, value: object, patch: Mapping) -> Row | None:
-        """The row after the patch, or None."""
+        """The row of the whole key after the patch, or None; a patch may change the key."""
         patch = self.engine.hooks.run_before(self.name, "updateById", patch)
-        where = {self.key[0]: value}
-        return self.df.where(self._test(where, False)).first() if self.update_many(where, patch) else None
+        where = self.by_id(value)
+        found = self._update(where, patch)
+        return self._after("updateById", self.df.where(self._test({**where, **{c: v for c, v in patch.items() if c in where}}, False)).first() if found else None)
 
-    def delete_many(self, where: Mapping | None, all_rows: bool = False) -> int:
-        """How many rows went."""
-        where = self.engine.hooks.run_before(self.name, "deleteMany", where)
+    def _delete(self, where: Mapping | None, all_rows: bool = False) -> int:
         test = self._test(where, all_rows)
         n = self.df.where(test).count()
         if n:
             self._wrote(mutations.delete(self.df, test))
-        self.engine.hooks.run_after(self.name, "deleteMany", n)
         return n
 
+    def delete_many(self, where: Mapping | None, all_rows: bool = False) -> int:
+        """How many rows went."""
+        where = self.engine.hooks.run_before(self.name, "deleteMany", where)
+        return self._after("deleteMany", self._delete(where, all_rows))
+
     def delete_one(self, where: Mapping | None, all_rows: bool = False) -> bool:
         """Whether any row went; deletes every row that matches."""
-        return self.delete_many(self.engine.hooks.run_before(self.name, "deleteOne", where), all_rows) > 0
+        where = self.engine.hooks.run_before(self.name, "deleteOne", where)
+        return self._after("deleteOne", self._delete(where, all_rows) > 0)
 
     def delete_by_id(self, value: object) -> bool:
+        """Whether the row of the whole key was there."""
         value = self.engine.hooks.run_before(self.name, "deleteById", value)
-        return self.delete_many({self.key[0]: value}) > 0
+        return self._after("deleteById", self._delete(self.by_id(value)) > 0)
 
     def invalidate_cache(self) -> int:
         return self.engine.cache.invalidate(self.name)
@@ -323,30 +377,53 @@ class Table:
         """Keep a first page; how many rows it has."""
         return self.find_many(where, limit=limit, with_relations=with_relations if depth > 0 else None, depth=depth, cache=True, ttl=self.engine.settings.warm_ttl).count()
 
-    def build_search_index(self, path: str | None = None) -> DataFrame:
-        """Build, write and keep the index of the declared fields; returns its figures."""
+    def build_search_index(self, path: str | None = None, geo_buckets: bool = False) -> DataFrame:
+        """Build, write and keep the index of the declared fields, with ``geo_buckets`` also the geo buckets; returns its figures."""
         fields = dict(self.info.search_fields)
         if not fields:
             raise ValueError(f"no search fields are declared for {self.name}")
-        path = path or new_path(self.engine.spark, f"index-{self.name}")
-        index.write_index(index.build_index(self.df, self.key[0], fields, self.info.tokenizer), path)
-        self.engine.indexes[self.name] = (self.engine.held[self.name].version, self.engine.spark.read.parquet(path))
+        made = index.write(self.df, self.key[0], fields, self.info.tokenizer, path or new_path(self.engine.spark, f"index-{self.name}"), own=path is None)
+        self.engine.indexes[self.name] = (self.engine.held[self.name].version, made)
+        if geo_buckets:
+            self.build_geo_buckets()
         return self.search_stats()
 
+    def has_search_index(self) -> bool:
+        """Whether an index of the table as it is is kept."""
+        held = self.engine.indexes.get(self.name)
+        return held is not None and held[0] == self.engine.held[self.name].version
+
+    def clear_search_index(self) -> bool:
+        """Forget the index; whether there was one."""
+        return self.engine.indexes.pop(self.name, None) is not None
+
     rebuild_search_index = build_search_index
 
-    def _index(self) -> DataFrame:
+    def _index(self) -> index.Written:
         """The index, built anew if the table was written since."""
-        held = self.engine.indexes.get(self.name)
-        if held is None or held[0] != self.engine.held[self.name].version:
+        if not self.has_search_index():
             self.build_search_index()
         return self.engine.indexes[self.name][1]
 
     def search_stats(self) -> DataFrame:
-        return index.index_stats(self.df, self._index(), self.key[0], list(dict(self.info.search_fields)), self.info.tokenizer)
+        """documents, terms and tokens of the index, counted when it was written."""
+        return self._index().stats
+
+    def documents_with(self, term: str, limit: int = 100) -> DataFrame:
+        """Keys of rows that hold a term; a limit below 1 gives all."""
+        return index.documents_of(self._index().postings, term, limit)
+
+    def indexed_terms(self, limit: int = 1000) -> DataFrame:
+        """Terms of the index in order; a limit below 1 gives all."""
+        return index.all_terms(self._index().postings, limit)
 
-    def search(self, query: str, fields: Sequence[str] | None = None, limit: int = 10, offset: int = 0, filters: Mapping | None = None, min_score: float = 0.0, highlight_fields: Sequence[str] | None = None, geo: Mapping | None = None, prefilter: bool = False, rank: str = "index") -> DataFrame:
-        """Rows that hold all terms of the query, scored; with ``geo``, rows near a place scored by text and distance."""
+    def search(self, query: str, fields: Sequence[str] | None = None, limit: int = 10, offset: int = 0, filters: Mapping | None = None, min_score: float = 0.0, highlight_fields: Sequence[str] | None = None, geo: Mapping | None = None, prefilter: bool = False, rank: str = "index", fuzzy: int = 0) -> DataFrame:
+        """Rows that hold all terms of the query, scored; with ``geo``, rows near a place scored by text and distance.
+
+        ``rank`` is 'index' (summed scores), 'bm25' or 'combined' (with the
+        mean of the declared boosts); with ``fuzzy`` a term also stands for the
+        terms at most that many edits away.
+        """
         query = self.engine.hooks.run_before(self.name, "search", query)
         began, fields = self.engine.clock(), list(fields or dict(self.info.search_fields))
         if is_model(filters):
@@ -354,10 +431,10 @@ class Table:
             geo = geo or found
         test = plain_filters(self.compiler(), filters)
         if geo:
-            rows = self.search_geo(geo, limit=None) if test is None else geosearch.search_geo(self.df.where(test), self.key[0], self.info.lat, self.info.lng, geo, places.known_places(self.engine.spark), self.engine.buckets.get(self.name))
+            rows = self.search_geo(geo, limit=None) if test is None else geosearch.search_geo(self.df.where(test), self.key[0], self.info.lat, self.info.lng, geo, places.known_places(self.engine.spark), self._buckets())
             out = geosearch.text_and_geo(rows, self.key[0], fields, query, limit, min_score)
         else:
-            out = search.search(self.df, self._index(), self.key[0], query, fields, limit, offset, test, min_score, list(highlight_fields or []), self.info.tokenizer, prefilter, rank)
+            out = search.search(self.df, self._index(), self.key[0], query, fields, limit, offset, test, min_score, list(highlight_fields or []), self.info.tokenizer, prefilter, rank, fuzzy, index.mean_boost(dict(self.info.search_fields)))
         out = camel_columns(out) if self.engine.settings.case_conversion else out
         self.engine._track(self.name, "search", {"query": query}, began, False)
         self.engine.hooks.run_after(self.name, "search", out)
@@ -367,23 +444,46 @@ class Table:
         if not (self.info.lat and self.info.lng):
             raise ValueError(f"no coordinates are declared for {self.name}")
         rows = self.df.where(valid(F.col(self.info.lat), F.col(self.info.lng)))
-        return geosearch.search_geo(rows, self.key[0], self.info.lat, self.info.lng, geo, places.known_places(self.engine.spark), self.engine.buckets.get(self.name), limit)
+        return geosearch.search_geo(rows, self.key[0], self.info.lat, self.info.lng, geo, places.known_places(self.engine.spark), self._buckets(), limit)
+
+    def _buckets(self) -> DataFrame | None:
+        """The buckets built from the table as it is now."""
+        held = self.engine.buckets.get(self.name)
+        return held[1] if held and held[0] == self.engine.held[self.name].version else None
 
     def build_geo_index(self, buckets: DataFrame | None = None) -> DataFrame:
-        """Rows with a valid location, their first bucket and canonical place."""
+        """Rows with a valid location, their first bucket and canonical place; written once and kept until the table is written."""
+        if not (self.info.lat and self.info.lng):
+            raise ValueError(f"no coordinates are declared for {self.name}")
         known = places.known_places(self.engine.spark)
-        return geosearch.geo_index(self.df, self.key[0], self.info.lat, self.info.lng, self.engine.buckets.get(self.name) if buckets is None else buckets, self.info.place, known)
+        found = cut(geosearch.geo_index(self.df, self.key[0], self.info.lat, self.info.lng, self._buckets() if buckets is None else buckets, self.info.place, known))
+        self.engine.geo_indexes[self.name] = (self.engine.held[self.name].version, found)
+        return found
+
+    def geo_index(self) -> DataFrame:
+        """The kept geo index, built anew if the table was written since."""
+        held = self.engine.geo_indexes.get(self.name)
+        return held[1] if held and held[0] == self.engine.held[self.name].version else self.build_geo_index()
+
+    def geo_stats(self) -> DataFrame:
+        """One row: documents of the geo index, how many have a bucket, buckets that hold any, and the world's bounds."""
+        return geosearch.geo_totals(self.geo_index())
+
+    def clear_geo_index(self) -> bool:
+        """Forget the geo index and the buckets; whether there were any."""
+        held = [self.engine.geo_indexes.pop(self.name, None), self.engine.buckets.pop(self.name, None)]
+        return any(h is not None for h in held)
 
     def build_geo_buckets(self, target: int = 5, grid_km: float = 10.0, smallest: int = 3) -> DataFrame:
-        """Buckets of the table's points, kept for later searches."""
-        found = cluster.buckets(self.df, self.key[0], self.info.lat, self.info.lng, self.info.place, target, grid_km, smallest)
-        self.engine.buckets[self.name] = found
+        """Buckets of the table's points in a list order, written once and kept until the table is written."""
+        found = cut(cluster.numbered(cluster.buckets(self.df, self.key[0], self.info.lat, self.info.lng, self.info.place, target, grid_km, smallest)))
+        self.engine.buckets[self.name] = (self.engine.held[self.name].version, found)
         return found
 
     def geo_buckets(self) -> DataFrame:
-        if self.name not in self.engine.buckets:
-            raise ValueError(f"no buckets were built for {self.name}")
-        return self.engine.buckets[self.name]
+        if (found := self._buckets()) is None:
+            raise ValueError(f"no buckets were built for {self.name} as it is")
+        return found
 
 
 _single: Engine | None = None

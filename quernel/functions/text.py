@@ -13,9 +13,11 @@ from quernel.functions.stem import stem_words
 from quernel.session import spread
 
 # The stop words left out by default.
-STOP_WORDS = (
-    "a an and are as at be but by for from has have he in is it its of on that the they this to was will with"
-).split()
+STOP_WORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from",
+    "has", "he", "in", "is", "it", "its", "of", "on", "that", "the",
+    "to", "was", "will", "with", "the", "this", "but", "they", "have",
+]
 #: Separators between words: white space (any script's) and punctuation.
 SEPARATORS = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}\p{P}]+"
 

@@ -200,8 +200,8 @@ def buckets(df: DataFrame, key: str, lat: str, lng: str, name: str | None = None
 
 
 def numbered(found: DataFrame) -> DataFrame:
-    """Buckets with ids bucket_1, bucket_2 ... in order of their text ids (one task; the buckets are few)."""
-    return found.withColumn("bucket_id", F.concat(F.lit("bucket_"), F.row_number().over(Window.orderBy("bucket_id"))))
+    """Buckets with ``ord``, their place (from 0) in order of their ids; ranges are numbered apart, so no task holds all."""
+    return _ranked(found.withColumn("_all", F.lit(0)), "_all", ["bucket_id"]).withColumnRenamed("_rank", "ord").drop("_all")
 
 
 def bucket_stats(found: DataFrame) -> DataFrame:

@@ -18,12 +18,14 @@ PLACE_KM = 25.0
 
 
 def geo_index(df: DataFrame, key: str, lat: str, lng: str, buckets: DataFrame | None = None, place: str | None = None, places: DataFrame | None = None) -> DataFrame:
-    """Rows with a valid location and key, with the first bucket that holds them and the canonical place name."""
+    """Rows with a valid location and key, with the first bucket that holds them and the canonical place name; without ``buckets`` the bucket is the known place's."""
     rows = df.where(F.col(key).isNotNull() & G.valid(F.col(lat), F.col(lng)))
     if buckets is not None:
         rows = first_bucket(rows.drop("bucket_id"), key, lat, lng, buckets)
     if place and places is not None:
-        rows = normalise(rows, place, places).drop("place_lat", "place_lng", "how") if buckets is None else normalise(rows, place, places.withColumn("bucket_id", F.lit(None).cast("string"))).drop("place_lat", "place_lng", "how")
+        held = rows if buckets is None else rows.withColumnRenamed("bucket_id", "_held")
+        rows = normalise(held.drop("bucket_id"), place, places).drop("place_lat", "place_lng", "how")
+        rows = rows if buckets is None else rows.drop("bucket_id").withColumnRenamed("_held", "bucket_id")
     return rows
 
 
@@ -101,6 +103,13 @@ def geo_stats(df: DataFrame, bucket: str = "bucket_id") -> DataFrame:
     return df.groupBy(bucket).agg(F.count(F.lit(1)).alias("documents"))
 
 
+def geo_totals(df: DataFrame, bucket: str = "bucket_id") -> DataFrame:
+    """One row of a geo index: documents, those in a bucket, buckets that hold any, and the world's bounds."""
+    held = F.col(bucket) if bucket in df.columns else F.lit(None).cast("string")
+    world = [F.lit(v).alias(n) for n, v in (("south", -90.0), ("west", -180.0), ("north", 90.0), ("east", 180.0))]
+    return df.agg(F.count(F.lit(1)).alias("documents"), F.count(held).alias("in_buckets"), F.countDistinct(held).alias("buckets")).select("*", *world)
+
+
 def search_geo(df: DataFrame, key: str, lat: str, lng: str, geo: Mapping, places: DataFrame | None = None, buckets: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """``by_radius`` from an option object: center and radius, locationName, or bucketId."""
     unit = (geo.get("radius") or {}).get("unit", "km")

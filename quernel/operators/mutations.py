@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quernel.plans.predicates import checked
-from quernel.session import new_path
+from quernel.session import forget_at_end, new_path
 
 
 def rows_frame(like: DataFrame, rows: Sequence[Mapping]) -> DataFrame:
@@ -29,11 +29,13 @@ def rows_frame(like: DataFrame, rows: Sequence[Mapping]) -> DataFrame:
     return like.sparkSession.createDataFrame(values, schema)
 
 
-def insert(df: DataFrame, new: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """``df`` with the rows of ``new``, and those rows with keys: null or missing ones continue after the highest.
+def insert(df: DataFrame, new: DataFrame, key: str | None) -> tuple[DataFrame, DataFrame]:
+    """``df`` with the rows of ``new``, and those rows with keys: null or missing ones continue after the highest. Without ``key`` none are made.
 
     The window numbers the rows of one insert call (given by the caller), never the table.
     """
+    if key is None:
+        return df.unionByName(new, allowMissingColumns=True), new
     kind = df.schema[key].dataType
     if key not in new.columns:
         new = new.withColumn(key, F.lit(None).cast(kind))
@@ -64,7 +66,7 @@ def upsert_stats(stats: DataFrame, log: DataFrame) -> DataFrame:
     weighted by counts, the last access is the later one. Null times count as
     accesses but not in the average.
     """
-    batch = log.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.avg("execution_time_ms").alias("_avg"), F.max("accessed_at").alias("_last"))
+    batch = log.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.avg(F.col("execution_time_ms").cast("double")).alias("_avg"), F.max("accessed_at").alias("_last"))
     both = stats.join(batch, "query_id", "full_outer")
     n, m = F.coalesce("access_count", F.lit(0)), F.coalesce("_n", F.lit(0))
     old, new = F.col("avg_execution_time").cast("double"), F.col("_avg").cast("double")
@@ -83,5 +85,6 @@ class VersionedTable:
         if self.version % self.snapshot_every == 0:
             path = new_path(df.sparkSession, f"{self.name}-v{self.version}")
             df.write.parquet(path)
+            forget_at_end(df.sparkSession, path)
             df = df.sparkSession.read.schema(df.schema).parquet(path)
         self.df = df

@@ -8,26 +8,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernel.functions import score as S
-from quernel.operators.index import bm25_scores, query_terms, search_index
+from quernel.operators.index import Written, alternatives, bm25_scores, query_terms, ranked, search_index
 
 
-def search(df: DataFrame, index: DataFrame, key: str, query: str, fields: list[str], limit: int = 10, offset: int = 0, filters: Column | None = None, min_score: float = 0.0, highlights: list[str] | None = None, kind: str = "simple", prefilter: bool = False, rank: str = "index") -> DataFrame:
+#: Ids of a page up to which it is broadcast; larger pages are joined by a shuffle.
+PAGE = 10_000
+
+
+def search(df: DataFrame, index: Written, key: str, query: str, fields: list[str], limit: int = 10, offset: int = 0, filters: Column | None = None, min_score: float = 0.0, highlights: list[str] | None = None, kind: str = "simple", prefilter: bool = False, rank: str = "index", fuzzy: int = 0, boost: float = 1.0) -> DataFrame:
     """Rows that hold all terms, in the index's order, with score, matched_terms and highlights.
 
     As in the engine's default, the page is taken from the index before filters
     and ``min_score`` apply, so pages may be short; ``prefilter`` filters first.
-    ``rank`` 'bm25' orders by BM25 instead of the summed scores. The page of ids
-    is small and is joined to the table after it is cut.
+    ``rank`` 'bm25' or 'combined' (with ``boost``) orders by that instead of
+    the summed scores; with ``fuzzy`` a term stands for those at most so many
+    edits away. The page of ids is joined to the table after it is cut.
     """
+    if rank not in ("index", "bm25", "combined"):
+        raise ValueError(f"no ranking {rank}")
     terms = query_terms(df, query, kind)
     if prefilter and filters is not None:
-        index = index.join(df.where(filters).select(F.col(key).alias("doc_id")), "doc_id", "left_semi")
-    if rank == "bm25":
-        found = search_index(index, terms, None).select("doc_id").join(bm25_scores(index, terms), "doc_id").orderBy(F.desc("score"), F.desc(F.col("doc_id").cast("string"))).limit(limit + offset)
-    else:
-        found = search_index(index, terms, limit + offset)
+        index = index.within(df.where(filters).select(F.col(key).alias("doc_id")))
+    if fuzzy:
+        index = alternatives(index, terms, fuzzy)
+    found = search_index(index.postings, terms, None)
+    if rank != "index":
+        scored = bm25_scores(index, terms) if rank == "bm25" else ranked(index, terms, boost)
+        found = found.select("doc_id").join(scored, "doc_id").orderBy(F.desc("score"), F.desc(F.col("doc_id").cast("string")))
+    found = found.limit(limit + offset)
     page = (found.offset(offset) if offset else found).select(F.col("doc_id").alias("_id"), F.col("score").alias("_rank"))
-    rows = df.alias("d").join(F.broadcast(page).alias("p"), F.col(f"d.{key}") == F.col("p._id"))
+    page = F.broadcast(page) if limit + offset <= PAGE else page
+    rows = df.alias("d").join(page.alias("p"), F.col(f"d.{key}") == F.col("p._id"))
     if filters is not None:
         rows = rows.where(filters)
     words = S.query_terms(query)

@@ -6,7 +6,6 @@ from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from quernel.plans.predicates import Compiler
 
@@ -92,6 +91,3 @@ def split_place(model: Mapping, lat: str | None, lng: str | None) -> tuple[dict,
     centre = {"lat": float(held.pop(lat)), "lng": float(held.pop(lng))}
     return {**model, "andFilter": held}, {"center": centre, "radius": {"value": PLACE_KM, "unit": "km"}}
 
-
-def always() -> Column:
-    return F.lit(True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,10 +11,10 @@ from pyspark.sql import functions as F
 from quernel.functions import geo as G
 from quernel.functions import score as S
 from quernel.functions import text as T
-from quernel.functions.stem import STEP2, STEP3, STEP4, stem
+from quernel.functions.stem import stem
 from quernel.operators import cluster, geosearch, index, places, search
 from quernel.queries.model import engine
-from quernel.session import spread, table
+from quernel.session import new_path, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,12 +30,23 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+# Fixed values, written out for the SQL so that it shares none with the operators: stop words, separators, and the suffixes of steps 2 to 4.
+_STOP = "'a', 'an', 'and', 'are', 'as', 'at', 'be', 'by', 'for', 'from', 'has', 'have', 'he', 'in', 'is', 'it', 'its', 'of', 'on', 'that', 'the', 'they', 'this', 'to', 'was', 'will', 'with', 'but'"
+_SEPARATORS = "[\\s\\x{0B}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}\\p{P}]+"
+_SQL_STEP2 = "ational ate, tional tion, enci ence, anci ance, izer ize, abli able, alli al, entli ent, eli e, ousli ous, ization ize, ation ate, ator ate, alism al, iveness ive, fulness ful, ousness ous, aliti al, iviti ive, biliti ble"
+_SQL_STEP3 = "icate ic, ative , alize al, iciti ic, ical ic, ful , ness "
+_SQL_STEP4 = "al, ance, ence, er, ic, able, ible, ant, ement, ment, ent, ion, ou, ism, ate, iti, ous, ive, ize"
+
+
+def _pairs(text: str) -> dict[str, str]:
+    return {a: b for a, _, b in (pair.partition(" ") for pair in text.split(", "))}
+
+
 
 
 def _tokens_sql(source: str, key: str, text: str) -> str:
     """key, pos, term of the simple tokens."""
-    words = f"list_filter(regexp_split_to_array(lower({text}), '{T.SEPARATORS}'), lambda w: w <> '')"
+    words = f"list_filter(regexp_split_to_array(lower({text}), '{_SEPARATORS}'), lambda w: w <> '')"
     return f"""SELECT {key}, pos, term FROM (SELECT {key}, unnest(w) AS term, unnest(range(len(w))) AS pos FROM (SELECT {key}, {words} AS w FROM {source} WHERE {text} IS NOT NULL))
         WHERE length(term) >= 3 AND regexp_matches(term, '[\\p{{L}}\\p{{N}}]') AND term NOT IN ({_STOP})"""
 
@@ -45,8 +57,10 @@ _DOC_TOKENS = _tokens_sql("documents", "doc_id", "text")
 @query(f"SELECT doc_id, count(*) AS tokens, sum(pos) AS positions, count(DISTINCT term) AS terms FROM ({_DOC_TOKENS}) GROUP BY doc_id")
 def tokenize_simple(spark: SparkSession, d: str) -> DataFrame:
     """Tokens, the sum of their positions, and distinct terms of each document."""
-    rows = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.inline(T.simple_tokens(F.col("text"))))
-    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"), F.sum("pos").alias("positions"), F.countDistinct("term").alias("terms"))
+    rows = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", T.simple_tokens(F.col("text")).alias("t"))
+    sum_of = F.aggregate("t", F.lit(0).cast("long"), lambda a, t: a + t["pos"])
+    rows = rows.select("doc_id", F.size("t").cast("long").alias("tokens"), sum_of.alias("positions"), F.size(T.unique_terms(F.col("t"))).cast("long").alias("terms"))
+    return rows.where("tokens > 0")
 
 
 @query("""
@@ -75,42 +89,64 @@ def _stem_sql(source: str) -> str:
         WHEN suffix(w, 'eed') AND {_m(cut(3))} > 0 THEN {cut(1)} WHEN suffix(w, 'ed') AND regexp_matches({cut(2)}, '[aeiou]') THEN {fixed(cut(2))}
         WHEN suffix(w, 'ing') AND regexp_matches({cut(3)}, '[aeiou]') THEN {fixed(cut(3))} ELSE w END"""
     swap = lambda pairs: "CASE " + " ".join(f"WHEN suffix(w, '{s}') AND {_m(cut(len(s)))} > 0 THEN {cut(len(s))} || '{r}'" for s, r in pairs.items()) + " ELSE w END"
-    four = "CASE " + " ".join(f"WHEN suffix(w, '{s}') AND {_m(cut(len(s)))} > 1 THEN {cut(len(s))}" for s in STEP4) + " ELSE w END"
+    four = "CASE " + " ".join(f"WHEN suffix(w, '{s}') AND {_m(cut(len(s)))} > 1 THEN {cut(len(s))}" for s in _SQL_STEP4.split(', ')) + " ELSE w END"
     five = f"CASE WHEN suffix(w, 'e') AND ({_m(cut(1))} > 1 OR ({_m(cut(1))} = 1 AND NOT regexp_matches({cut(1)}, '{cvc}'))) THEN {cut(1)} WHEN suffix(w, 'll') AND {_m('w')} > 1 THEN {cut(1)} ELSE w END"
     out = f"SELECT word, word AS w FROM ({source})"
-    for step in (one, swap(STEP2), swap(STEP3), four, five):
+    for step in (one, swap(_pairs(_SQL_STEP2)), swap(_pairs(_SQL_STEP3)), four, five):
         out = f"SELECT word, {step} AS w FROM ({out})"
     return f"SELECT word, w AS stem FROM ({out})"
 
 
-_WORDS = "SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS word FROM documents"
+_WORDS = f"SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '{_SEPARATORS}'), lambda w: w <> '')) AS word FROM documents"
 
 
 @query(_stem_sql(_WORDS))
 def stem_vocab(spark: SparkSession, d: str) -> DataFrame:
-    """The stem of every run of three or more ASCII letters of the documents; stem_vocab_all has every word."""
-    words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("word")).distinct()
-    return words.select("word", stem(F.col("word")).alias("stem"))
-
-
-@query()
-def stem_vocab_all(spark: SparkSession, d: str) -> DataFrame:
     """The stem of every word of the documents, as the tokeniser cuts them."""
     words = spread(table(spark, d, "documents").select("text")).select(F.explode(T.words_of(F.col("text"))).alias("word")).distinct()
     return words.select("word", stem(F.col("word")).alias("stem"))
 
 
+_TITLE_TOKENS = _tokens_sql("services", "id", "title")
+
+
+@query(f"WITH t AS (SELECT id, pos, term FROM ({_TITLE_TOKENS})), s AS ({_stem_sql(f'SELECT DISTINCT term AS word FROM ({_TITLE_TOKENS})')}) SELECT id, count(*) AS tokens, sum(pos) AS positions, count(DISTINCT stem) AS terms, min(stem) AS first FROM t JOIN s ON term = word GROUP BY id")
+def tokenize_stemming(spark: SparkSession, d: str) -> DataFrame:
+    """Stemmed tokens of the services' titles, their positions and unique terms."""
+    rows = table(spark, d, "services").select("id", T.stemmed_tokens(F.col("title")).alias("t")).select("id", "t", F.inline("t"))
+    return rows.groupBy("id").agg(F.count(F.lit(1)).alias("tokens"), F.sum("pos").alias("positions"), F.countDistinct("term").alias("terms"), F.min(F.array_min(T.unique_terms(F.col("t")))).alias("first"))
+
+
 _PART_WORDS = " UNION ALL ".join(f"SELECT p_partkey AS doc_id, {i} AS ord, {b} AS boost, term FROM ({_tokens_sql('part', 'p_partkey', f)})" for i, (f, b) in enumerate((("p_name", 3.0), ("p_type", 2.0), ("p_brand", 1.0))))
 _PART_INDEX = f"SELECT doc_id, term, count(*) AS tf, count(*) * min_by(boost, ord) AS score FROM ({_PART_WORDS}) GROUP BY doc_id, term"
 _DOC_INDEX = f"SELECT doc_id, term, count(*) AS tf, list(pos ORDER BY pos) AS positions FROM ({_DOC_TOKENS}) GROUP BY doc_id, term"
 
 
+_PART_FIELDS = {"p_name": 3.0, "p_type": 2.0, "p_brand": 1.0}
+
+
 def _part_index(spark: SparkSession, d: str) -> DataFrame:
-    return index.build_index(table(spark, d, "part"), "p_partkey", {"p_name": 3.0, "p_type": 2.0, "p_brand": 1.0})
+    return index.build_index(table(spark, d, "part"), "p_partkey", _PART_FIELDS)
+
+
+#: Indexes written by this session, by application and data directory.
+_written: dict[tuple[str, str, str], index.Written] = {}
 
 
-def _doc_index(spark: SparkSession, d: str) -> DataFrame:
-    return index.build_index(table(spark, d, "documents"), "doc_id", {"text": 1.0})
+def _kept(spark: SparkSession, d: str, name: str, key: str, fields: dict[str, float]) -> index.Written:
+    """The index of a table, written on first use; every lookup reads what was written."""
+    at = (spark.sparkContext.applicationId, d, name)
+    if at not in _written:
+        _written[at] = index.write(table(spark, d, name), key, fields, "simple", new_path(spark, f"index-{name}"))
+    return _written[at]
+
+
+def _docs(spark: SparkSession, d: str) -> index.Written:
+    return _kept(spark, d, "documents", "doc_id", {"text": 1.0})
+
+
+def _parts(spark: SparkSession, d: str) -> index.Written:
+    return _kept(spark, d, "part", "p_partkey", _PART_FIELDS)
 
 
 @query(f"SELECT doc_id, term, tf, CAST(score AS DOUBLE) AS score FROM ({_PART_INDEX})")
@@ -122,26 +158,26 @@ def index_build(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT (SELECT count(*) FROM part) AS documents, (SELECT count(DISTINCT term) FROM ({_PART_WORDS})) AS terms, (SELECT count(*) FROM (SELECT DISTINCT doc_id, ord, term FROM ({_PART_WORDS}))) AS tokens")
 def index_stats(spark: SparkSession, d: str) -> DataFrame:
     """Documents, terms and tokens of an index."""
-    return index.index_stats(table(spark, d, "part"), _part_index(spark, d), "p_partkey", ["p_name", "p_type", "p_brand"])
+    return _parts(spark, d).stats
 
 
 @query(f"WITH i AS ({_PART_INDEX}), c AS (SELECT p_partkey AS doc_id FROM part WHERE p_size > 25) SELECT doc_id, count(*) AS terms, sum(tf) AS tf FROM i WHERE doc_id NOT IN (SELECT doc_id FROM c) GROUP BY doc_id")
 def index_delete(spark: SparkSession, d: str) -> DataFrame:
     """The index without some documents."""
     gone = table(spark, d, "part").where("p_size > 25").select(F.col("p_partkey").alias("doc_id"))
-    return index.delete_documents(_part_index(spark, d), gone).groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), F.sum("tf").alias("tf"))
+    return index.delete_documents(_parts(spark, d).postings, gone).groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), F.sum("tf").alias("tf"))
 
 
 @query(f"WITH i AS ({_DOC_INDEX}) SELECT doc_id, CAST(tf AS DOUBLE) AS score FROM i WHERE term = 'refund' ORDER BY tf DESC, CAST(doc_id AS VARCHAR) DESC LIMIT 10")
 def search_one_term(spark: SparkSession, d: str) -> DataFrame:
     """The ten best documents for one term."""
-    return index.search_index(_doc_index(spark, d), ["refund"], 10)
+    return index.search_index(_docs(spark, d).postings, ["refund"], 10)
 
 
 @query(f"WITH i AS ({_DOC_INDEX}) SELECT doc_id, CAST(sum(tf) AS DOUBLE) AS score FROM i WHERE term IN ('cache', 'query', 'table') GROUP BY doc_id HAVING count(*) = 3 ORDER BY score DESC, CAST(doc_id AS VARCHAR) DESC LIMIT 20")
 def search_all_terms(spark: SparkSession, d: str) -> DataFrame:
     """The best documents that hold all terms."""
-    return index.search_index(_doc_index(spark, d), index.query_terms(table(spark, d, "documents"), "the Cache, query to table!"), 20)
+    return index.search_index(_docs(spark, d).postings, index.query_terms(table(spark, d, "documents"), "the Cache, query to table!"), 20)
 
 
 def _score_sql(fields: list[str], terms: list[str]) -> str:
@@ -171,7 +207,13 @@ def highlight(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", S.highlight(F.col("p_name"), ["blue", "green", "red"]).alias("marked"))
 
 
-@query()
+@query(r"""
+    WITH a AS (SELECT doc_id, text AS t, length(text) AS n, least(nullif(instr(lower(text), 'provider'), 0), nullif(instr(lower(text), 'index'), 0)) - 1 AS hit FROM documents WHERE text IS NOT NULL),
+    b AS (SELECT *, greatest(hit - 65, 0) AS s, least(hit + 65, n) AS e FROM a),
+    c AS (SELECT *, CASE WHEN s > 0 AND instr(left(t, s + 1), ' ') > 0 THEN s + 1 - instr(reverse(left(t, s + 1)), ' ') + 1 ELSE s END AS s2, CASE WHEN e < n AND instr(substring(t, e + 1), ' ') > 0 THEN e + instr(substring(t, e + 1), ' ') - 1 ELSE e END AS e2 FROM b)
+    SELECT doc_id, CASE WHEN hit IS NULL THEN left(t, 150) || CASE WHEN n > 150 THEN '...' ELSE '' END
+        ELSE regexp_replace(CASE WHEN s2 > 0 THEN '...' ELSE '' END || substring(t, s2 + 1, e2 - s2) || CASE WHEN e2 < n THEN '...' ELSE '' END, '(?i)\b(provider|index)\b', '<mark>\1</mark>', 'g') END AS snippet FROM c
+    UNION ALL SELECT doc_id, '' FROM documents WHERE text IS NULL""")
 def snippet(spark: SparkSession, d: str) -> DataFrame:
     """The surroundings of the first hit in each document."""
     return table(spark, d, "documents").select("doc_id", S.snippet(F.col("text"), ["provider", "index"]).alias("snippet"))
@@ -180,7 +222,7 @@ def snippet(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH i AS ({_DOC_INDEX}), n AS (SELECT count(DISTINCT doc_id) AS n FROM i) SELECT doc_id, term, round(tf * ln((n + 1) / (count(*) OVER (PARTITION BY term) + 1)), 6) AS value FROM i, n WHERE term IN ('cache', 'query', 'table')")
 def tfidf(spark: SparkSession, d: str) -> DataFrame:
     """TF-IDF of some terms."""
-    return index.tf_idf_scores(_doc_index(spark, d), ["cache", "query", "table"]).withColumn("value", F.round("value", 6))
+    return index.tf_idf_scores(_docs(spark, d), ["cache", "query", "table"]).withColumn("value", F.round("value", 6))
 
 
 @query(f"""
@@ -189,7 +231,7 @@ def tfidf(spark: SparkSession, d: str) -> DataFrame:
     SELECT doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean))), 6) AS score FROM h JOIN l USING (doc_id), a GROUP BY doc_id""")
 def bm25(spark: SparkSession, d: str) -> DataFrame:
     """BM25 of some terms."""
-    return index.bm25_scores(_doc_index(spark, d), ["cache", "query", "table"]).withColumn("score", F.round("score", 6))
+    return index.bm25_scores(_docs(spark, d), ["cache", "query", "table"]).withColumn("score", F.round("score", 6))
 
 
 @query(f"""
@@ -199,7 +241,7 @@ def bm25(spark: SparkSession, d: str) -> DataFrame:
     FROM (SELECT DISTINCT doc_id FROM h) LEFT JOIN s USING (doc_id)""")
 def proximity(spark: SparkSession, d: str) -> DataFrame:
     """How close two terms stand."""
-    return index.proximity_scores(_doc_index(spark, d), ["cache", "query"])
+    return index.proximity_scores(_docs(spark, d).postings, ["cache", "query"])
 
 
 @query(f"""
@@ -210,10 +252,67 @@ def pair_proximity(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.pair_proximity(T.simple_tokens(F.col("text")), "index", "table").alias("score"))
 
 
-@query()
+def _ranked_sql(terms: tuple[str, str], boost: float) -> str:
+    """doc_id and the mean combined score of two terms, of which the first found one leads."""
+    a, b = terms
+    return f"""
+    WITH i AS ({_DOC_INDEX}), n AS (SELECT count(DISTINCT doc_id) AS n FROM i), h AS (SELECT doc_id, term, tf, positions, count(*) OVER (PARTITION BY term) AS df FROM i WHERE term IN ('{a}', '{b}')),
+    g AS (SELECT x.doc_id, (SELECT min(least_gap) FROM (SELECT min(abs(p - q)) AS least_gap FROM (SELECT unnest(x.positions) AS p), (SELECT unnest(y.positions) AS q) GROUP BY p)) AS span FROM (SELECT * FROM h WHERE term = '{a}') x JOIN (SELECT * FROM h WHERE term = '{b}') y USING (doc_id)),
+    p AS (SELECT doc_id, CASE WHEN span = 0 THEN 1.0 WHEN span <= 2 THEN 0.9 WHEN span <= 5 THEN 0.7 WHEN span <= 10 THEN 0.5 WHEN span <= 20 THEN 0.3 ELSE 0.1 END AS near FROM g)
+    SELECT doc_id, avg(least(1.0, (tf * ln((n + 1) / (df + 1)) + {boost} + 0.5 * coalesce(near, 0)) / 10)) AS score FROM h JOIN n ON true LEFT JOIN p USING (doc_id) GROUP BY doc_id"""
+
+
+@query(f"SELECT doc_id, round(CAST(score AS DOUBLE), 6) AS score FROM ({_ranked_sql(('cache', 'query'), 1.0)})")
 def ranked(spark: SparkSession, d: str) -> DataFrame:
     """Documents by the combined score."""
-    return index.ranked(_doc_index(spark, d), ["cache", "query"]).withColumn("score", F.round("score", 6))
+    return index.ranked(_docs(spark, d), ["cache", "query"]).withColumn("score", F.round("score", 6))
+
+
+@query(f"SELECT doc_id, round(exp(-epoch(TIMESTAMP '2024-06-01 00:00:00' - created_on) / 86400.0 / 30), 6) AS score FROM documents WHERE created_on IS NOT NULL UNION ALL SELECT doc_id, 0.0 FROM documents WHERE created_on IS NULL")
+def freshness(spark: SparkSession, d: str) -> DataFrame:
+    """How fresh each document is at an instant."""
+    score = S.freshness(F.col("created_on"), F.lit("2024-06-01 00:00:00").cast("timestamp_ntz"))
+    return table(spark, d, "documents").select("doc_id", F.round(score, 6).alias("score"))
+
+
+@query(f"WITH i AS ({_DOC_INDEX}) SELECT DISTINCT doc_id FROM i WHERE term = 'refund'")
+def index_documents_of(spark: SparkSession, d: str) -> DataFrame:
+    """All documents that hold a term."""
+    return index.documents_of(_docs(spark, d).postings, "refund", 0)
+
+
+@query(f"SELECT DISTINCT term FROM ({_DOC_TOKENS})")
+def index_all_terms(spark: SparkSession, d: str) -> DataFrame:
+    """All terms of an index."""
+    return index.all_terms(_docs(spark, d).postings, 0)
+
+
+_NEW_WORDS = " UNION ALL ".join(f"SELECT p_partkey AS doc_id, {i} AS ord, {b} AS boost, term FROM ({_tokens_sql('(SELECT p_partkey, CASE WHEN p_size > 25 THEN ' + repr('renewed ') + ' || p_name ELSE p_name END AS p_name, p_type, p_brand FROM part)', 'p_partkey', f)})" for i, (f, b) in enumerate((("p_name", 3.0), ("p_type", 2.0), ("p_brand", 1.0))))
+
+
+@query(f"SELECT doc_id, term, count(*) AS tf, CAST(count(*) * min_by(boost, ord) AS DOUBLE) AS score FROM ({_NEW_WORDS}) GROUP BY doc_id, term")
+def index_update(spark: SparkSession, d: str) -> DataFrame:
+    """The index after some documents were changed."""
+    changed = table(spark, d, "part").where("p_size > 25").withColumn("p_name", F.concat(F.lit("renewed "), "p_name"))
+    return index.update_documents(_parts(spark, d).postings, changed, "p_partkey", _PART_FIELDS).select("doc_id", "term", "tf", "score")
+
+
+@query("SELECT CAST(NULL AS VARCHAR) AS step, CAST(NULL AS BIGINT) AS n WHERE false UNION ALL VALUES ('before', 0), ('built', 1), ('cleared', 0), ('all built', 1), ('after a write', 0), ('searched', 1)")
+def index_states(spark: SparkSession, d: str) -> DataFrame:
+    """Whether an index is there while it is built, cleared, made stale by a write and used again."""
+    e = engine(spark, d, "part")
+    told = [("before", e.part.has_search_index())]
+    e.part.build_search_index()
+    told.append(("built", e.part.has_search_index()))
+    e.part.clear_search_index()
+    told.append(("cleared", e.part.has_search_index()))
+    assert e.build_all_indexes() == {}
+    told.append(("all built", e.part.has_search_index()))
+    e.part.update_many({"p_partkey": 1}, {"p_name": "renewed"})
+    told.append(("after a write", e.part.has_search_index()))
+    e.part.search("renewed").count()
+    told.append(("searched", e.part.has_search_index()))
+    return spark.createDataFrame([(step, int(there)) for step, there in told], "step string, n long")
 
 
 @query("SELECT title AS suggestion, count(*) AS n FROM services WHERE starts_with(lower(title), 're') GROUP BY title ORDER BY n DESC, title LIMIT 10")
@@ -234,16 +333,10 @@ def facet_ranges(spark: SparkSession, d: str) -> DataFrame:
     return search.range_facets(table(spark, d, "services"), "price", {"low": (None, 50), "middle": (50, 150), "high": (150, None)})
 
 
-@query(f"WITH t AS (SELECT DISTINCT term FROM ({_DOC_TOKENS}) WHERE regexp_matches(term, '^[a-z0-9]+$')) SELECT term, levenshtein(term, 'cache') AS edits FROM t WHERE levenshtein(term, 'cache') <= 2")
-def fuzzy_terms(spark: SparkSession, d: str) -> DataFrame:
-    """Terms that are nearly a given one; of ASCII only, as DuckDB counts edits by bytes; fuzzy_terms_all has every term."""
-    return search.fuzzy_terms(_doc_index(spark, d).where(F.col("term").rlike("^[a-z0-9]+$")), "cache", 2).withColumn("edits", F.col("edits").cast("long"))
-
-
 @query()
-def fuzzy_terms_all(spark: SparkSession, d: str) -> DataFrame:
-    """All terms that are nearly a given one, in any script, by characters."""
-    return search.fuzzy_terms(_doc_index(spark, d), "cache", 2).withColumn("edits", F.col("edits").cast("long"))
+def fuzzy_terms(spark: SparkSession, d: str) -> DataFrame:
+    """All terms that are nearly a given one, in any script, by characters (DuckDB counts edits by bytes, so there is no SQL)."""
+    return search.fuzzy_terms(_docs(spark, d).postings, "cache", 2).withColumn("edits", F.col("edits").cast("long"))
 
 
 @query(f"WITH s AS (SELECT {_score_sql(['title', 'description'], ['clean', 'roof'])} * 100 AS s FROM services) SELECT CASE WHEN s >= 80 THEN '80-100' WHEN s >= 50 THEN '50-79' ELSE '0-49' END AS band, count(*) AS n FROM s GROUP BY 1")
@@ -322,21 +415,83 @@ def geo_buckets_meeting(spark: SparkSession, d: str) -> DataFrame:
     return geosearch.buckets_meeting(_buckets(spark, d), _AT, 1200).select("bucket_id")
 
 
-@query(f"SELECT location_name, count(*) AS n, round(degrees(atan2(avg(sin(radians(lat))), sqrt(avg(cos(radians(lat)) * cos(radians(lng))) ** 2 + avg(cos(radians(lat)) * sin(radians(lng))) ** 2))), 4) AS lat FROM ({_GEO}) WHERE {_OK} GROUP BY location_name HAVING count(*) > 2")
+@query(f"""
+    WITH p AS (SELECT location_name, radians(lat) AS a, radians(lng) AS o FROM ({_GEO}) WHERE {_OK}), m AS (SELECT location_name, count(*) AS n, avg(cos(a) * cos(o)) AS x, avg(cos(a) * sin(o)) AS y, avg(sin(a)) AS z FROM p GROUP BY location_name)
+    SELECT location_name, n, CASE WHEN x * x + y * y + z * z > 1e-24 THEN round(degrees(atan2(z, sqrt(x * x + y * y))), 4) END AS lat, CASE WHEN x * x + y * y + z * z > 1e-24 THEN round(degrees(atan2(y, x)), 4) END AS lng FROM m""")
 def geo_centroid(spark: SparkSession, d: str) -> DataFrame:
-    """The latitude of the middle of each place name with more than two points; geo_centroid_all has every name."""
-    rows = _points(spark, d).where(G.valid(F.col("lat"), F.col("lng"))).groupBy("location_name")
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.round(G.centroid(F.col("lat"), F.col("lng"))[0], 4).alias("lat")).where("n > 2")
-
-
-@query()
-def geo_centroid_all(spark: SparkSession, d: str) -> DataFrame:
     """The middle of the points of every place name; null where their directions cancel out."""
     rows = _points(spark, d).where(G.valid(F.col("lat"), F.col("lng"))).groupBy("location_name")
     lat, lng = G.centroid(F.col("lat"), F.col("lng"))
     return rows.agg(F.count(F.lit(1)).alias("n"), F.round(lat, 4).alias("lat"), F.round(lng, 4).alias("lng"))
 
 
+@query(f"SELECT location_name, min(lat) AS south, min(lng) AS west, max(lat) AS north, max(lng) AS east FROM ({_GEO}) WHERE {_OK} GROUP BY location_name")
+def geo_box_of(spark: SparkSession, d: str) -> DataFrame:
+    """The box round the points of every place name."""
+    return _points(spark, d).where(G.valid(F.col("lat"), F.col("lng"))).groupBy("location_name").agg(*G.box_of(F.col("lat"), F.col("lng")))
+
+
+@query("WITH b AS (SELECT bucket_no, radius.value AS v, radius.unit AS u, radius.value * CASE radius.unit WHEN 'km' THEN 1000.0 WHEN 'mi' THEN 1609.34 ELSE 1.0 END AS m FROM geo_buckets) SELECT bucket_no, round(m / 1000.0, 6) AS km, round(m / 1609.34, 6) AS mi FROM b")
+def geo_convert(spark: SparkSession, d: str) -> DataFrame:
+    """The radius of each bucket in kilometres and miles."""
+    to = lambda unit: reduce(lambda out, u: F.when(F.col("radius.unit") == u, G.convert(F.col("radius.value"), u, unit)).otherwise(out), ("km", "mi", "m"), F.lit(None).cast("double"))
+    return table(spark, d, "geo_buckets").select("bucket_no", F.round(to("km"), 6).alias("km"), F.round(to("mi"), 6).alias("mi"))
+
+
+def _mi(lat: str, lng: str, clat: object, clng: object) -> str:
+    return _d(lat, lng, clat, clng).replace("12742.0", "7918.0")
+
+
+@query(f"SELECT geo_id, round({_mi('lat', 'lng', *_AT)}, 3) AS mi, round(1 - {_mi('lat', 'lng', *_AT)} / 900, 6) AS relevance FROM ({_GEO}) WHERE {_OK} AND {_mi('lat', 'lng', *_AT)} <= 900")
+def geo_radius_miles(spark: SparkSession, d: str) -> DataFrame:
+    """Points within a radius in miles, with distances in miles."""
+    found = geosearch.by_radius(_points(spark, d), "geo_id", "lat", "lng", _AT, 900, "mi")
+    return found.select("geo_id", F.round("distance", 3).alias("mi"), F.round("relevance", 6).alias("relevance"))
+
+
+@query(f"SELECT geo_id, round({_d('lat', 'lng', 51.5074, -0.1278)}, 3) AS km FROM ({_GEO}) WHERE {_OK} AND {_d('lat', 'lng', 51.5074, -0.1278)} <= 2000")
+def geo_by_place(spark: SparkSession, d: str) -> DataFrame:
+    """Points round a place given by one of its other names."""
+    found = engine(spark, d, "geo_documents").geo_documents.search_geo({"locationName": "The Big Smoke", "radius": {"value": 2000, "unit": "km"}})
+    return found.select("geo_id", F.round("distance", 3).alias("km"))
+
+
+@query(f"WITH b AS ({_B}), c AS (SELECT * FROM b WHERE km = (SELECT max(km) FROM b) ORDER BY bucket_id LIMIT 1) SELECT geo_id, round({_d('lat', 'lng', 'blat', 'blng')}, 3) AS km FROM ({_GEO}), c WHERE {_OK} AND {_d('lat', 'lng', 'blat', 'blng')} <= c.km")
+def geo_by_bucket(spark: SparkSession, d: str) -> DataFrame:
+    """Points within the circle of the widest bucket, given by its id."""
+    held = _buckets(spark, d)
+    widest = held.orderBy(F.desc("radius_km"), "bucket_id").first().bucket_id
+    found = geosearch.search_geo(_points(spark, d).where(G.valid(F.col("lat"), F.col("lng"))), "geo_id", "lat", "lng", {"bucketId": widest}, buckets=held)
+    return found.select("geo_id", F.round("distance", 3).alias("km"))
+
+
+@query(f"WITH p AS (SELECT * FROM ({_GEO}) WHERE {_OK}), b AS ({_B}), h AS (SELECT geo_id, lat, lng, location_name, min_by(bucket_id, bucket_no) AS bucket_id FROM p LEFT JOIN b ON {_d('lat', 'lng', 'blat', 'blng')} <= km GROUP BY ALL), r AS (SELECT bucket_id FROM p JOIN h USING (geo_id)) SELECT (SELECT count(*) FROM p) AS documents, (SELECT count(*) FROM p WHERE EXISTS (SELECT 1 FROM b WHERE {_d('lat', 'lng', 'blat', 'blng')} <= km)) AS in_buckets, (SELECT count(DISTINCT bucket_id) FROM h) AS buckets, -90.0 AS south, -180.0 AS west, 90.0 AS north, 180.0 AS east".replace(", r AS (SELECT bucket_id FROM p JOIN h USING (geo_id))", ""))
+def geo_index_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Totals of a geo index."""
+    return geosearch.geo_totals(geosearch.geo_index(_points(spark, d), "geo_id", "lat", "lng", _buckets(spark, d)))
+
+
+_BOXES = "SELECT bucket_no, bucket_id, center.lat AS blat, center.lng AS blng, radius.value / 1000 AS km, center.lat - 2 AS south, center.lng - 3 AS west, center.lat + 2 AS north, center.lng + 3 AS east FROM geo_buckets"
+_IN_BOX = "lat BETWEEN south AND north AND lng BETWEEN west AND east"
+
+
+@query(f"WITH p AS (SELECT DISTINCT * FROM ({_GEO}) WHERE {_OK}), b AS ({_BOXES}) SELECT geo_id, lat, lng, min_by(bucket_id, bucket_no) AS bucket_id FROM p LEFT JOIN b ON {_d('lat', 'lng', 'blat', 'blng')} <= km OR ({_IN_BOX}) GROUP BY geo_id, lat, lng")
+def geo_bucket_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """The first bucket whose circle or box holds each point, looked up by cells of space."""
+    held = table(spark, d, "geo_buckets").select(F.col("bucket_no").alias("ord"), "bucket_id", "center.lat", "center.lng", (F.col("radius.value") / 1000).alias("radius_km"))
+    held = held.select("*", (F.col("lat") - 2).alias("south"), (F.col("lng") - 3).alias("west"), (F.col("lat") + 2).alias("north"), (F.col("lng") + 3).alias("east"))
+    points = _points(spark, d).where(G.valid(F.col("lat"), F.col("lng")))
+    return places.first_bucket(points, "geo_id", "lat", "lng", held, most=10).select("geo_id", "lat", "lng", "bucket_id").distinct()
+
+
+@query(f"WITH b AS ({_BOXES}) SELECT bucket_id FROM b WHERE {_d('blat', 'blng', *_AT)} <= greatest(1500, km) OR (north >= {_AT[0]} - degrees(1500 / 6371.0) AND south <= {_AT[0]} + degrees(1500 / 6371.0) AND east >= {_AT[1]} - degrees(1500 / 6371.0) / cos(radians({_AT[0]})) AND west <= {_AT[1]} + degrees(1500 / 6371.0) / cos(radians({_AT[0]})))")
+def geo_boxes_meeting(spark: SparkSession, d: str) -> DataFrame:
+    """Buckets with boxes that meet a circle."""
+    held = table(spark, d, "geo_buckets").select("bucket_id", "center.lat", "center.lng", (F.col("radius.value") / 1000).alias("radius_km"))
+    held = held.select("*", (F.col("lat") - 2).alias("south"), (F.col("lng") - 3).alias("west"), (F.col("lat") + 2).alias("north"), (F.col("lng") + 3).alias("east"))
+    return geosearch.buckets_meeting(held, _AT, 1500).select("bucket_id")
+
+
 @query(f"SELECT round(lat, 4) AS lat, round(lng, 4) AS lng, count(*) AS n FROM ({_GEO}) WHERE lat BETWEEN 0 AND 45 AND lng BETWEEN 0 AND 90 GROUP BY 1, 2")
 def geo_map_listing(spark: SparkSession, d: str) -> DataFrame:
     """Distinct coordinates in a box."""
@@ -358,39 +513,90 @@ def geo_grid_clusters(spark: SparkSession, d: str) -> DataFrame:
     return found.select("bucket_id", "n", "location_name", F.round("radius_km", 6).alias("radius_km"), F.size("members").alias("size"))
 
 
+_CELLS = f"""
+    p AS (SELECT geo_id, any_value(lat) AS lat, any_value(lng) AS lng, lower(any_value(location_name)) AS name FROM ({_GEO}) WHERE {_OK} GROUP BY geo_id),
+    c AS (SELECT *, CAST(floor(lat / (50.0 / 111)) AS BIGINT) AS y, CAST(floor(lng / (50.0 / 111)) AS BIGINT) AS x FROM p),
+    m AS (SELECT y, x, count(*) AS n, avg(lat) AS clat, avg(lng) AS clng, min(lat) AS south, min(lng) AS west, max(lat) AS north, max(lng) AS east FROM c GROUP BY y, x HAVING count(*) >= 3),
+    f AS (SELECT y, x, max({_d('lat', 'lng', 'clat', 'clng')}) * 1.1 AS radius_km FROM c JOIN m USING (y, x) GROUP BY y, x),
+    o AS (SELECT y, x, name FROM (SELECT y, x, name, row_number() OVER (PARTITION BY y, x ORDER BY count(*) DESC, name) AS k FROM c WHERE name IS NOT NULL GROUP BY y, x, name) WHERE k = 1),
+    b AS (SELECT m.*, radius_km, name AS location_name FROM m JOIN f USING (y, x) LEFT JOIN o USING (y, x))"""
+
+
+def _whole_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Buckets of cells of which none is divided."""
+    return cluster.buckets(_points(spark, d).dropDuplicates(["geo_id"]), "geo_id", "lat", "lng", "location_name", 1_000_000_000, 50.0, 3)
+
+
+@query(f"WITH {_CELLS} SELECT n, round(clat, 8) AS lat, round(clng, 8) AS lng, round(radius_km, 5) AS radius_km, south, west, north, east, location_name, n AS members FROM b")
+def geo_cell_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """Centre, radius, box, members and commonest name of whole cells."""
+    found = _whole_cells(spark, d)
+    return found.select("n", F.round("lat", 8).alias("lat"), F.round("lng", 8).alias("lng"), F.round("radius_km", 5).alias("radius_km"), "south", "west", "north", "east", "location_name", F.size("members").cast("long").alias("members"))
+
+
+@query(f"WITH {_CELLS} SELECT count(*) AS buckets, round(avg(n), 1) AS mean_size, min(n) AS least, max(n) AS most, sum(n) AS members FROM b")
+def geo_cell_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Totals of the buckets of whole cells."""
+    return cluster.bucket_stats(_whole_cells(spark, d))
+
+
+@query(f"WITH {_CELLS} SELECT location_name, count(*) AS buckets, sum(n) AS members FROM b GROUP BY location_name")
+def geo_cell_places(spark: SparkSession, d: str) -> DataFrame:
+    """Buckets of whole cells and their members per place name."""
+    return cluster.bucket_places(_whole_cells(spark, d))
+
+
 @query()
 def geo_cluster_stats(spark: SparkSession, d: str) -> DataFrame:
     """Totals of the buckets."""
     return cluster.bucket_stats(cluster.buckets(_points(spark, d).dropDuplicates(["geo_id"]), "geo_id", "lat", "lng", "location_name", 5, 50.0, 3))
 
 
-_PLACES = ", ".join(f"({i}, '{k}', '{c}')" for i, (k, c) in enumerate([(places._plain(n), c) for n, c, _ in [(x[1], x[1], x[5]) for x in places.CITIES] + places.ALIASES]))
-_PLACE_ALIAS = ", ".join(f"({i}, '{places._plain(a)}', '{c}')" for i, (_, c, al) in enumerate([(x[1], x[1], x[5]) for x in places.CITIES] + places.ALIASES) for a in al.split("|"))
-_NAMES = "The Windy City|Chi-Town|NYC|new  york city!|Sin City|Bangalor|Phoenixx|Nowhere|BOM|the big apple|San Francisc|Los Angelos|H Town"
-_NAME_LIST = ", ".join(f"('{n}')" for n in _NAMES.split("|"))
+# Fixed values, written out for the SQL: known places and their other names as (place in the list, key, canonical name).
+_PLACES = """
+    (0, 'new york city', 'New York City'), (1, 'los angeles', 'Los Angeles'), (2, 'chicago', 'Chicago'), (3, 'houston', 'Houston'), (4, 'phoenix', 'Phoenix'),
+    (5, 'san francisco', 'San Francisco'), (6, 'seattle', 'Seattle'), (7, 'miami', 'Miami'), (8, 'boston', 'Boston'), (9, 'london', 'London'), (10, 'paris', 'Paris'),
+    (11, 'tokyo', 'Tokyo'), (12, 'mumbai', 'Mumbai'), (13, 'delhi', 'Delhi'), (14, 'bangalore', 'Bangalore'), (15, 'the big apple', 'New York City'),
+    (16, 'sin city', 'Las Vegas'), (17, 'motor city', 'Detroit'), (18, 'music city', 'Nashville'), (19, 'the mile high city', 'Denver'),
+    (20, 'the emerald city', 'Seattle'), (21, 'the city of angels', 'Los Angeles'), (22, 'the windy city', 'Chicago'), (23, 'philly', 'Philadelphia'),
+    (24, 'atx', 'Austin'), (25, 'the big smoke', 'London'), (26, 'the city of light', 'Paris'), (27, 'the big mango', 'Bangkok'), (28, 'the big durian', 'Jakarta')"""
+_PLACE_ALIAS = """
+    (0, 'nyc', 'New York City'), (0, 'new york', 'New York City'), (0, 'manhattan', 'New York City'), (0, 'brooklyn', 'New York City'), (0, 'queens', 'New York City'),
+    (0, 'bronx', 'New York City'), (0, 'staten island', 'New York City'), (1, 'la', 'Los Angeles'), (1, 'los angeles', 'Los Angeles'), (1, 'hollywood', 'Los Angeles'),
+    (1, 'santa monica', 'Los Angeles'), (1, 'venice', 'Los Angeles'), (2, 'chicago', 'Chicago'), (2, 'chitown', 'Chicago'), (2, 'the windy city', 'Chicago'),
+    (3, 'houston', 'Houston'), (3, 'htown', 'Houston'), (4, 'phoenix', 'Phoenix'), (4, 'phx', 'Phoenix'), (5, 'sf', 'San Francisco'),
+    (5, 'san francisco', 'San Francisco'), (5, 'san fran', 'San Francisco'), (5, 'the city', 'San Francisco'), (6, 'seattle', 'Seattle'), (6, 'sea', 'Seattle'),
+    (7, 'miami', 'Miami'), (7, 'mia', 'Miami'), (7, 'miami beach', 'Miami'), (8, 'boston', 'Boston'), (8, 'bos', 'Boston'), (9, 'london', 'London'), (9, 'ldn', 'London'),
+    (10, 'paris', 'Paris'), (10, 'par', 'Paris'), (11, 'tokyo', 'Tokyo'), (11, 'tyo', 'Tokyo'), (12, 'mumbai', 'Mumbai'), (12, 'bombay', 'Mumbai'), (12, 'bom', 'Mumbai'),
+    (13, 'delhi', 'Delhi'), (13, 'new delhi', 'Delhi'), (13, 'del', 'Delhi'), (14, 'bangalore', 'Bangalore'), (14, 'bengaluru', 'Bangalore'), (14, 'blr', 'Bangalore'),
+    (15, 'big apple', 'New York City'), (15, 'nyc', 'New York City'), (16, 'vegas', 'Las Vegas'), (16, 'lv', 'Las Vegas'), (16, 'las vegas', 'Las Vegas'),
+    (17, 'the d', 'Detroit'), (17, 'detroit', 'Detroit'), (17, 'dtw', 'Detroit'), (18, 'nash', 'Nashville'), (18, 'nashville', 'Nashville'), (18, 'bna', 'Nashville'),
+    (19, 'denver', 'Denver'), (19, 'den', 'Denver'), (20, 'seattle', 'Seattle'), (20, 'sea', 'Seattle'), (21, 'la', 'Los Angeles'), (21, 'los angeles', 'Los Angeles'),
+    (21, 'lax', 'Los Angeles'), (22, 'chicago', 'Chicago'), (22, 'chitown', 'Chicago'), (22, 'ord', 'Chicago'), (23, 'philadelphia', 'Philadelphia'),
+    (23, 'phl', 'Philadelphia'), (24, 'austin', 'Austin'), (24, 'atx', 'Austin'), (25, 'london', 'London'), (25, 'ldn', 'London'), (26, 'paris', 'Paris'),
+    (26, 'cdg', 'Paris'), (27, 'bangkok', 'Bangkok'), (27, 'bkk', 'Bangkok'), (28, 'jakarta', 'Jakarta'), (28, 'cgk', 'Jakarta')"""
 _DICE = "CASE WHEN k = o THEN 1.0 WHEN length(k) < 2 OR length(o) < 2 THEN 0.0 ELSE 2.0 * len(list_filter(list_transform(range(1, length(k)), lambda i: substring(k, i, 2)), lambda g: list_contains(list_transform(range(1, length(o)), lambda i: substring(o, i, 2)), g))) / (length(k) + length(o) - 2) END"
 
 
 @query(f"""
-    WITH n(name) AS (VALUES {_NAME_LIST}), k AS (SELECT name, regexp_replace(regexp_replace(trim(lower(name)), '[^A-Za-z0-9_\\s]', '', 'g'), '\\s+', ' ', 'g') AS k FROM n),
+    WITH n AS (SELECT DISTINCT location_name AS name FROM geo_documents WHERE location_name IS NOT NULL), k AS (SELECT name, regexp_replace(regexp_replace(trim(lower(name)), '[^A-Za-z0-9_\\s]', '', 'g'), '\\s+', ' ', 'g') AS k FROM n),
     p(ord, o, canonical) AS (VALUES {_PLACES}), a(ord, o, canonical) AS (VALUES {_PLACE_ALIAS}), every_name AS (SELECT * FROM p UNION ALL SELECT * FROM a),
     direct AS (SELECT name, min_by(canonical, ord) AS c FROM k JOIN p ON k = o GROUP BY name), alias AS (SELECT name, min_by(canonical, ord) AS c FROM k JOIN a ON k = o GROUP BY name),
     fuzzy AS (SELECT name, min_by(canonical, ord) AS c FROM k, every_name WHERE {_DICE} >= 0.8 GROUP BY name)
-    SELECT name, coalesce(direct.c, alias.c, fuzzy.c, name) AS canonical, CASE WHEN direct.c IS NOT NULL THEN 'direct' WHEN alias.c IS NOT NULL THEN 'alias' WHEN fuzzy.c IS NOT NULL THEN 'fuzzy' ELSE 'as_is' END AS how
-    FROM n LEFT JOIN direct USING (name) LEFT JOIN alias USING (name) LEFT JOIN fuzzy USING (name)""")
+    SELECT name, CASE WHEN name <> '' THEN coalesce(direct.c, alias.c, fuzzy.c, name) END AS canonical, CASE WHEN name = '' THEN NULL WHEN k = '' THEN 'as_is' WHEN direct.c IS NOT NULL THEN 'direct' WHEN alias.c IS NOT NULL THEN 'alias' WHEN fuzzy.c IS NOT NULL THEN 'fuzzy' ELSE 'as_is' END AS how
+    FROM n JOIN k USING (name) LEFT JOIN direct USING (name) LEFT JOIN alias USING (name) LEFT JOIN fuzzy USING (name)""")
 def place_normalize(spark: SparkSession, d: str) -> DataFrame:
-    """Some names of places in their canonical spelling; place_normalize_all has those of the table."""
-    names = spark.createDataFrame([(n,) for n in _NAMES.split("|")], "name string")
-    return places.normalise(names, "name", places.known_places(spark)).select("name", "canonical", "how")
-
-
-@query()
-def place_normalize_all(spark: SparkSession, d: str) -> DataFrame:
     """Every place name of the points in its canonical spelling."""
     names = table(spark, d, "geo_documents").where("location_name IS NOT NULL").select(F.col("location_name").alias("name")).distinct()
     return places.normalise(names, "name", places.known_places(spark)).select("name", "canonical", "how")
 
 
+@query("SELECT 'paris' AS variation UNION ALL SELECT unnest(['par', 'the city of light', 'cdg', 'lutetia', 'the old town'])")
+def place_variations(spark: SparkSession, d: str) -> DataFrame:
+    """All keys of a place, one name having been added."""
+    return places.variations(places.known_places(spark, [("Lutetia", "Paris", ["The Old Town"])]), "Paris")
+
+
 @query(f"WITH x AS (SELECT DISTINCT regexp_replace(regexp_replace(trim(lower(location_name)), '[^A-Za-z0-9_\\s]', '', 'g'), '\\s+', ' ', 'g') AS k, 'quindo bay' AS o FROM geo_documents WHERE location_name IS NOT NULL) SELECT k, round(CAST({_DICE} AS DOUBLE), 6) AS likeness FROM x")
 def place_dice(spark: SparkSession, d: str) -> DataFrame:
     """How much each place name is like one name."""

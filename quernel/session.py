@@ -19,13 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the cluster's ``spark.checkpoint.dir``. Only where that is unset
-    (local mode, tests) an own folder is made and set for the session.
+    It is the cluster's ``spark.checkpoint.dir``. Only where that is unset and
+    driver and executors are one machine (master local[...], as in tests) an
+    own folder is made and set for the session, and goes with it; on any other
+    master the setting is asked for.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quernel-")
         spark.sparkContext.setCheckpointDir(found)
+        forget_at_end(spark, found)
     elif not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -24,6 +24,22 @@ def read(spark: SparkSession, path: str, kind: str = "parquet", schema: str | No
     return reader.load(path)
 
 
+def read_database(spark: SparkSession, url: str, name: str, key: str, partitions: int | None = None, **options: str) -> DataFrame:
+    """A table of a database, read by many tasks at once.
+
+    The range of the whole-number column ``key`` is asked first and cut into
+    ``partitions`` (default: the session's cores) strides, one query each; rows
+    with a null key are in the first. An empty table is read by one task.
+    """
+    ask = spark.read.format("jdbc").options(url=url, **options)
+    low, high = ask.option("query", f"SELECT MIN({key}) AS a, MAX({key}) AS b FROM {name}").load().first()
+    reader = spark.read.format("jdbc").options(url=url, dbtable=name, **options)
+    if low is not None and high > low:
+        parts = partitions or spark.sparkContext.defaultParallelism
+        reader = reader.options(partitionColumn=key, lowerBound=str(int(low)), upperBound=str(int(high) + 1), numPartitions=str(parts))
+    return reader.load()
+
+
 def write(df: DataFrame, path: str, kind: str = "parquet", mode: str = "errorifexists", partition_by: Iterable[str] = ()) -> None:
     if kind not in FORMATS:
         raise ValueError(f"unknown format {kind}")

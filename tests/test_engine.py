@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import datetime
 import json
 import math
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,9 +17,10 @@ from quernel.engine import Engine, clear_engine, create_engine, get_engine
 from quernel.functions import geo as G
 from quernel.functions import score as S
 from quernel.functions import text as T
-from quernel.operators import cluster, geosearch, mutations, places
+from quernel.operators import cluster, geosearch, index, mutations, places, relations
 from quernel.operators.telemetry import statement_kind, statement_table
-from quernel.sources.readers import cast_read, read, write
+from quernel.session import new_path
+from quernel.sources.readers import cast_read, read, read_database, write
 
 CATALOG = Catalog(
     {"users": TableInfo("users", ("id",), (("name", 2.0), ("bio", 1.0)), lat="lat", lng="lng"), "orders": TableInfo("orders", ("id",)), "items": TableInfo("items", ("id",))},
@@ -98,6 +102,20 @@ def test_writes(engine):
     assert engine.orders.delete_many(None, all_rows=True) == 2 and engine.spark.table("orders").count() == 0
 
 
+def test_composite_keys(spark):
+    made = Engine(spark, Catalog({"lines": TableInfo("lines", ("a", "b"))}))
+    made.register("lines", spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (2, 1, "z")], "a long, b long, c string"))
+    assert made.lines.update_by_id((1, 2), {"c": "new"}).c == "new" and made.lines.update_by_id((9, 9), {"c": "new"}) is None
+    assert made.lines.update_by_id({"b": 1, "a": 2}, {"b": 5}).b == 5
+    assert made.lines.delete_by_id((1, 1)) and not made.lines.delete_by_id((1, 1)) and made.lines.find_by_id((1, 2)).c == "new"
+    for wrong in (1, (1,), (1, 2, 3), {"a": 1}, {"a": 1, "c": 2}):
+        for write in (made.lines.delete_by_id, made.lines.find_by_id, lambda v: made.lines.update_by_id(v, {"c": "q"})):
+            with pytest.raises(ValueError):
+                write(wrong)
+    assert made.lines.insert_one({"a": 7, "b": 8}).b == 8
+    assert sorted((r.a, r.b, r.c) for r in made.lines.df.collect()) == [(1, 2, "new"), (2, 5, "z"), (7, 8, None)]
+
+
 def test_upsert(spark):
     stats = spark.createDataFrame([("a", 3, 10.0, 5)], "query_id string, access_count long, avg_execution_time double, last_accessed_at long")
     log = spark.createDataFrame([("a", 20.0, 9), ("b", None, 2), ("b", 4.0, 1)], "query_id string, execution_time_ms double, accessed_at long")
@@ -115,11 +133,27 @@ def test_cache(engine):
     assert engine.users.find_many({"id": 1}, cache=True, ttl=5) is not first
     log = engine.log().collect()
     assert [r.cache_hit for r in log if r.query_type == "findMany"] == [False, True, False, False, False]
-    assert engine.warm()["warmed"] == 2 and engine.users.warm_cache(with_relations=True) == 3
+    engine.orders.find_many({"total": {"gte": 1}, "id": [10, 11]})
+    assert engine.warm()["warmed"] == 3 and engine.users.warm_cache(with_relations=True) == 3
     engine.clear_queries()
     assert engine.log().count() == 0
 
 
+def test_warming_runs_by_itself(spark):
+    made = Engine(spark, CATALOG)
+    made.register("orders", spark.createDataFrame([(1, datetime.datetime(2024, 1, 5))], "id long, at timestamp_ntz"))
+    made.orders.find_many({"at": {"gte": datetime.datetime(2024, 1, 1)}})
+    made.start_warming(every=0.05)
+    for _ in range(200):
+        if made.cache.stats()["keys"]:
+            break
+        time.sleep(0.1)
+    made.close()
+    assert made._warming is None
+    hits = made.cache.stats()["hits"]
+    assert made.warm()["warmed"] >= 1 and made.cache.stats()["hits"] >= hits
+
+
 def test_cache_rules():
     catalog, clock = Catalog({}, [Edge("b", "x", "a", "id"), Edge("c", "x", "b", "id"), Edge("d", "x", "c", "id"), Edge("a", "x", "a", "id")]), Clock()
     assert catalog.cascade("a", 1) == ["b"] and catalog.cascade("a", 3) == ["b", "c", "d"] and catalog.cascade("a", 0) == []
@@ -180,10 +214,96 @@ def test_search(engine):
     near = engine.users.search("ann", geo={"locationName": "the big apple"}).collect()
     assert [r.id for r in near] == [1] and near[0].score > 0.8
     assert engine.build_all_indexes() == {}
+    assert engine.users.has_search_index() and engine.users.clear_search_index() and not engine.users.clear_search_index()
+    assert [r.id for r in engine.users.search("doggs", fuzzy=1).collect()] == [1] and engine.users.search("doggs").count() == 0
+    assert [r.id for r in engine.users.search("dogs", rank="combined").collect()] == [1]
+    assert [r.doc_id for r in engine.users.documents_with("dogs").collect()] == [1]
+    assert [r.term for r in engine.users.indexed_terms(0).collect()] == ["ann", "dogs", "lee", "likes", "walking"]
+    with pytest.raises(ValueError):
+        engine.users.search("dogs", rank="luck")
     with pytest.raises(ValueError):
         engine.orders.build_search_index()
 
 
+def test_alternatives(spark):
+    rows = spark.createDataFrame([(1, "colour color colors"), (2, "colour cat"), (3, "colon cat cat")], "id long, t string")
+    made = index.write(rows, "id", {"t": 2.0}, "simple", new_path(spark, "index"))
+    assert made.stats.first().asDict() == {"documents": 3, "terms": 5, "tokens": 7} and made.total == 3 and made.mean_length == 8 / 3
+    wide = index.alternatives(made, ["color"], 1)
+    assert {(r.doc_id, r.tf, r.score) for r in wide.postings.collect()} == {(1, 3, 6.0), (2, 1, 2.0), (3, 1, 2.0)}
+    assert index.mean_boost({"a": 3.0, "b": None}) == 2.0 and index.mean_boost({}) == 1.0
+    plan = index.bm25_scores(made, ["cat"])._jdf.queryExecution().toString()
+    assert "posexplode" not in plan and "split(" not in plan and "PushedFilters" in plan
+
+
+def test_geo_index_on_built_buckets(spark):
+    points = [(i, 48.0 + i % 4 * 0.001, 2.0, "Paris") for i in range(24)] + [(99, 10.0, 10.0, "X"), (100, None, 1.0, None)]
+    made = Engine(spark, Catalog({"spots": TableInfo("spots", ("id",), lat="lat", lng="lng", place="name")}))
+    made.register("spots", spark.createDataFrame(points, "id long, lat double, lng double, name string"))
+    with pytest.raises(ValueError):
+        made.spots.geo_buckets()
+    found = made.spots.build_geo_buckets()
+    assert sorted(r.ord for r in found.collect()) == list(range(found.count())) and made.spots.geo_buckets() is found
+    rows = {r.id: r for r in made.spots.build_geo_index().collect()}
+    assert len(rows) == 25 and rows[0].bucket_id is not None and rows[99].bucket_id is None and rows[5].canonical == "Paris"
+    totals = made.spots.geo_stats().first()
+    assert (totals.documents, totals.in_buckets, totals.south, totals.east) == (25, 24, -90.0, 180.0)
+    assert {r.id for r in made.spots.search_geo({"bucketId": rows[0].bucket_id}).collect()} >= {0}
+    made.spots.delete_by_id(0)
+    with pytest.raises(ValueError):
+        made.spots.geo_buckets()
+    assert made.spots.geo_stats().first().in_buckets == 23 and made.spots.clear_geo_index() and not made.spots.clear_geo_index()
+
+
+@pytest.mark.parametrize("boxed", [False, True])
+def test_many_buckets_give_the_same(spark, boxed):
+    draw = random.Random(4)
+    spots = [(90.0, 0.0), (-89.99, 100.0), (10.0, 179.999), (10.0, -179.999), (0.0, 0.0), (48.0, 2.0)]
+    around = lambda: tuple(max(-lim, min(lim, c + draw.gauss(0, 0.5))) for c, lim in zip(draw.choice(spots), (90.0, 180.0)))
+    points = [(i, *around()) for i in range(300)] + [(300 + i, 48.0, 2.0) for i in range(50)] + [(900, None, 1.0), (901, 95.0, 1.0), (None, 48.0, 2.0)]
+    held = [(i, f"b{i}", *around(), draw.choice([0.0, 5.0, 40.0, 300.0, 15000.0 if i > 50 else 20.0])) for i in range(60)]
+    frame = spark.createDataFrame(points, "id long, lat double, lng double")
+    buckets = spark.createDataFrame(held, "ord int, bucket_id string, lat double, lng double, radius_km double")
+    if boxed:
+        buckets = buckets.select("*", (F.col("lat") - 0.3).alias("south"), (F.col("lng") - 0.4).alias("west"), (F.col("lat") + 0.3).alias("north"), (F.col("lng") + F.col("ord") % 2 * 40).alias("east"))
+    few, many = (sorted(((r.id or -1, r.lat or 0.0, r.bucket_id) for r in places.first_bucket(frame, "id", "lat", "lng", buckets, most=n).collect()), key=repr) for n in (1000, 5))
+    assert few == many and len({b for _, _, b in few}) > 5
+
+
+def test_database(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    spark.range(1000).select(F.col("id").cast("int").alias("ID"), (F.col("id") * 2).cast("int").alias("V")).write.format("jdbc").options(url=url, dbtable="T", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").save()
+    found = read_database(spark, url, "T", "ID", 4, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    assert found.rdd.getNumPartitions() == 4 and found.agg(F.sum("V")).first()[0] == 999 * 1000
+    assert max(found.groupBy(F.spark_partition_id()).count().toPandas()["count"]) <= 260
+
+
+def test_shared_folder(spark, monkeypatch):
+    from quernel import session
+
+    class Elsewhere:
+        conf = type("C", (), {"get": staticmethod(lambda name, default=None: default)})
+        sparkContext = type("S", (), {"master": "spark://there:7077", "getCheckpointDir": staticmethod(lambda: None)})
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Elsewhere)
+
+
+def test_relations_by_column(spark):
+    made = Engine(spark, Catalog({"p": TableInfo("p", ("id",)), "c": TableInfo("c", ("id",))}, [Edge("c", k, "p", "id") for k in ("x", "y")]))
+    made.register("p", spark.createDataFrame([(1,), (2,)], "id long"))
+    made.register("c", spark.createDataFrame([(1, 1, 2), (2, 1, None), (3, 1, 2)], "id long, x long, y long"))
+    with pytest.raises(ValueError):
+        made.p.find_many({"c": {"some": {"id": 1}}})
+    assert [r.id for r in made.p.find_many({"c_y": {"some": {"id": 1}}}).collect()] == [2]
+    assert [r.id for r in made.c.find_many({"p_x": {"is": {"id": 1}}}).collect()] == [1, 2, 3]
+    edge = made.catalog.edges[0]
+    few = relations.attach_dependents(made.p.df, edge, made.c.df, "c", most=2).collect()
+    assert {r.id: [x.id for x in r.c] for r in few} == {1: [1, 2], 2: []}
+    flat = relations.dependents_flat(made.p.df, edge, made.c.df).collect()
+    assert sorted((r.parent.id, r.child and r.child.id or 0) for r in flat) == [(1, 1), (1, 2), (1, 3), (2, 0)]
+
+
 def test_scores(spark):
     row = spark.range(1).select(
         S.simple_score([F.lit("C++ and c"), F.lit(None).cast("string")], "c++ c").alias("odd"),
@@ -207,7 +327,7 @@ def test_places_and_clusters(spark):
     assert sum(r.n for r in found) == 40 and {r.location_name for r in found} == {"paris"} and sorted(m for r in found for m in r.members) == sorted(str(i) for i in range(40))
     assert all(math.isclose(r.radius_km, 1.1 * max(0.0, r.radius_km / 1.1)) for r in found)
     assert cluster.buckets(points.limit(0), "id", "lat", "lng").count() == 0
-    known = places.known_places(spark, [("Home", "Paris", "hq")])
+    known = places.known_places(spark, [("Home", "Paris", ["hq"])])
     got = {r.n: (r.canonical, r.how) for r in places.normalise(spark.createDataFrame([("HQ",), ("home",), ("Londonn",), ("",), (None,)], "n string"), "n", known).collect()}
     assert got == {"HQ": ("Paris", "alias"), "home": ("Paris", "direct"), "Londonn": ("London", "fuzzy"), "": (None, None), None: (None, None)}
     assert "hq" in {r.variation for r in places.variations(known, "Paris").collect()} and places.place_stats(known).first().names == 30
