@@ -31,7 +31,7 @@ SOURCES = 1_000
 #: Hashed features of the classifier; its table has domains * FEATURES counts.
 FEATURES = 4096
 #: Labelled records the classifier is fitted to (expected number, drawn by hash), and of these held out to calibrate it.
-LABELLED, HELD_OUT = 50_000, 5_000
+LABELLED, HELD_OUT = 20_000, 4_000
 #: Powers of the likelihood tried in calibration; hashed words are not independent, so posteriors by their product are too sure.
 POWERS = tuple(2.0**-k for k in range(12))
 #: Steps at most, and the change of all totals, relative to the largest target, at which fitting ends.
