@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernel.operators.regions import box_ring, regions_of
 from quernel.operators.selection import exact_quantiles, running_records
 from quernel.operators.spatial import near_and_within
 from quernel.session import cut, table
@@ -41,16 +42,32 @@ def p3_quantiles_refined(spark: SparkSession, d: str) -> DataFrame:
     return p3_quantiles(spark, d, 100)
 
 
-def p6_found(spark: SparkSession, d: str) -> DataFrame:
+def p6_found(spark: SparkSession, d: str, cell_rows: int = 20_000) -> DataFrame:
     """Documents at most 0.2 km apart, and the buckets that hold each document."""
     points = table(spark, d, "geo_documents").select(F.col("geo_id").alias("id"), "location.lat", "location.lng")
     unit = F.col("radius.unit")
     km = F.when(unit == "km", 1.0).when(unit == "mi", 1.609344).when(unit == "m", 0.001) * F.col("radius.value")
     regions = table(spark, d, "geo_buckets").select(F.col("bucket_no").alias("id"), "center.lat", "center.lng", km.alias("radius_km"))
-    return near_and_within(points, regions, 0.2).select("kind", F.col("id").alias("geo_id"), "other_id")
+    return near_and_within(points, regions, 0.2, cell_rows).select("kind", F.col("id").alias("geo_id"), "other_id")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_cut, p3_quantiles, p3_quantiles_refined, p6_found)}
+def p6_split(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of p6_found with cells of about 200 points, so that splits and halos are at work at every scale."""
+    return p6_found(spark, d, 200)
+
+
+def p6_regions(spark: SparkSession, d: str) -> DataFrame:
+    """The documents in the box round each bucket's circle, by plane sweep; boxes may pass the 180th meridian or reach a pole."""
+    points = table(spark, d, "geo_documents").select(F.col("geo_id").alias("id"), "location.lat", "location.lng")
+    unit, lat, lng = F.col("radius.unit"), F.col("center.lat"), F.col("center.lng")
+    km = F.when(unit == "km", 1.0).when(unit == "mi", 1.609344).when(unit == "m", 0.001) * F.col("radius.value")
+    reach = F.degrees(km / 6371)
+    across = F.least(F.lit(180.0), reach / F.greatest(F.cos(F.radians(lat)), F.lit(1e-6)))
+    boxes = table(spark, d, "geo_buckets").where(lat.isNotNull() & lng.isNotNull() & (reach > 0)).select(F.col("bucket_no").alias("id"), box_ring(F.greatest(lat - reach, F.lit(-90.0)), lng - across, F.least(lat + reach, F.lit(90.0)), lng + across).alias("ring"))
+    return regions_of(points, boxes).select(F.col("id").alias("geo_id"), F.col("region").alias("bucket_no"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_cut, p3_quantiles, p3_quantiles_refined, p6_found, p6_split, p6_regions)}
 
 _MEASURED = "SELECT DISTINCT id, table_name, logged_ms, execution_time_ms AS ms FROM query_log WHERE table_name IS NOT NULL AND execution_time_ms >= 0"
 SQL = {
@@ -77,4 +94,9 @@ SQL = {
         SELECT 'bucket', geo_id, bucket_no FROM g JOIN b
           ON 12742.0 * asin(least(1.0, sqrt(sin(radians(g.lat - b.lat) / 2) ** 2 + cos(radians(g.lat)) * cos(radians(b.lat)) * sin(radians(g.lng - b.lng) / 2) ** 2))) <= km""",
 }
-SQL["p3_cut"], SQL["p3_quantiles_refined"] = SQL["p3_found"], SQL["p3_quantiles"]
+SQL |= {"p3_cut": SQL["p3_found"], "p3_quantiles_refined": SQL["p3_quantiles"], "p6_split": SQL["p6_found"]}
+SQL["p6_regions"] = """
+        WITH g AS (SELECT DISTINCT geo_id, location.lat AS lat, location.lng AS lng FROM geo_documents WHERE location.lat BETWEEN -90 AND 90 AND location.lng BETWEEN -180 AND 180),
+        b AS (SELECT bucket_no, center.lat AS blat, center.lng AS blng, degrees(radius.value * CASE radius.unit WHEN 'km' THEN 1.0 WHEN 'mi' THEN 1.609344 ELSE 0.001 END / 6371) AS reach FROM geo_buckets),
+        x AS (SELECT *, least(180.0, reach / greatest(cos(radians(blat)), 1e-6)) AS across FROM b)
+        SELECT DISTINCT geo_id, bucket_no FROM g JOIN x ON lat >= greatest(blat - reach, -90) AND lat < least(blat + reach, 90) AND abs(((lng - blng + 540.0) % 360.0) - 180.0) < across"""
