@@ -8,12 +8,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernel.engine import Engine
 from quernel.functions import geo as G
 from quernel.functions import score as S
 from quernel.functions import text as T
 from quernel.functions.stem import stem
 from quernel.operators import cluster, geosearch, index, places, search
-from quernel.queries.model import engine
+from quernel.queries.model import CATALOG, engine
 from quernel.session import new_path, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,6 +196,21 @@ def search_filtered(spark: SparkSession, d: str) -> DataFrame:
     return e.documents.search("provider order", limit=40, filters={"lang": "en"}).select("doc_id", "source", "score")
 
 
+@query(f"""
+    WITH i AS ({_DOC_INDEX}), t AS (SELECT doc_id FROM i WHERE term IN ('provider', 'order') GROUP BY doc_id HAVING count(*) = 2 ORDER BY sum(tf) DESC, CAST(doc_id AS VARCHAR) DESC LIMIT 15 OFFSET 5)
+    SELECT doc_id, 'provider order' AS matched, regexp_replace(text, '(?i)\\b(provider|order)\\b', '<mark>\\1</mark>', 'g') AS marked FROM documents JOIN t USING (doc_id)""")
+def search_matched(spark: SparkSession, d: str) -> DataFrame:
+    """A later page of a search with its matched terms and highlights."""
+    found = engine(spark, d, "documents").documents.search("Provider order", limit=15, offset=5, highlight_fields=["text"])
+    return found.select("doc_id", F.array_join("matched_terms", " ").alias("matched"), F.element_at("highlights", "text").alias("marked"))
+
+
+@query(f"SELECT doc_id, pos, term FROM ({_tokens_sql('(SELECT p_partkey AS doc_id, p_name AS text FROM part)', 'doc_id', 'text')})")
+def tokenize_unknown(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens by a tokeniser that there is not: the simple ones."""
+    return table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.inline(T.tokens_of(F.col("p_name"), "no such tokeniser"))).select("doc_id", F.col("pos").cast("long").alias("pos"), "term")
+
+
 @query(f"SELECT id, round(CAST({_score_sql(['title', 'description'], ['clean', 'roof'])} AS DOUBLE), 6) AS score FROM services")
 def simple_score(spark: SparkSession, d: str) -> DataFrame:
     """The plain score of every service."""
@@ -611,3 +627,16 @@ def text_geo_combined(spark: SparkSession, d: str) -> DataFrame:
     """Text search within a circle."""
     near = geosearch.by_radius(_points(spark, d).distinct(), "geo_id", "lat", "lng", _AT, 3000)
     return geosearch.text_and_geo(near, "geo_id", ["location_name"], "bay", 20).select("geo_id", "score")
+
+
+@query(f"""
+    WITH c AS (SELECT center.lat AS clat, center.lng AS clng FROM geo_buckets WHERE bucket_no = (SELECT min(bucket_no) FROM geo_buckets)),
+    p AS (SELECT geo_id, location_name, {_d('lat', 'lng', 'clat', 'clng')} AS km FROM (SELECT DISTINCT * FROM ({_GEO})), c WHERE {_OK} AND location_name LIKE '%a%'), n AS (SELECT * FROM p WHERE km <= 25 ORDER BY km, geo_id LIMIT 300)
+    SELECT geo_id, round(0.7 * CAST({_score_sql(['location_name'], ['bay'])} AS DOUBLE) + 0.3 * (1 - km / 25), 6) AS score FROM n ORDER BY score DESC, km, geo_id LIMIT 100""")
+def search_place_model(spark: SparkSession, d: str) -> DataFrame:
+    """A search by a filter model that holds a place, a pattern and keys that are no columns."""
+    at = table(spark, d, "geo_buckets").orderBy("bucket_no").first().center
+    e = Engine(spark, CATALOG)
+    e.register("geo_documents", _points(spark, d).distinct())
+    model = {"andFilter": {"lat": at.lat, "lng": at.lng}, "likeFilter": {"location_name": "a"}, "page": 2, "order": "ASC"}
+    return e.geo_documents.search("bay", limit=100, filters=model).select("geo_id", "score")
