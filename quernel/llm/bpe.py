@@ -13,8 +13,8 @@ from __future__ import annotations
 
 import base64
 import codecs
-from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import regex
 
@@ -30,9 +30,11 @@ _WORDS, _WORD_LENGTH = 300_000, 48
 class Transducer:
     """Encoder and decoder for a file of ranks (base64 token and rank a line); a token's rank is its id and its merge priority."""
 
-    def __init__(self, path: str) -> None:
-        with open(path, "rb") as lines:
-            self.ids = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
+    def __init__(self, path: str, ranks: bytes | None = None) -> None:
+        """From a file of ranks, or from its content."""
+        if ranks is None:
+            ranks = Path(path).read_bytes()
+        self.ids = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line.strip())}
         self.tokens = {v: k for k, v in self.ids.items()}
         self.lookahead = max(map(len, self.ids))
         self.tails = {t[k:] for t in self.ids for k in range(len(t))}
@@ -134,7 +136,13 @@ class Transducer:
             yield part
 
 
-@lru_cache(maxsize=2)
-def transducer(path: str) -> Transducer:
-    """The transducer of a file, once per worker."""
-    return Transducer(path)
+_held: dict[str, Transducer] = {}
+
+
+def transducer(path: str, ranks: Callable[[], bytes] | None = None) -> Transducer:
+    """The transducer of a file, once per worker; from its content where the worker has no such file. The last two are kept."""
+    if path not in _held:
+        while len(_held) > 1:
+            del _held[next(iter(_held))]
+        _held[path] = Transducer(path, ranks() if ranks and not Path(path).exists() else None)
+    return _held[path]

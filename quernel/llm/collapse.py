@@ -145,6 +145,11 @@ def canonical_text(texts: pd.Series) -> pd.Series:
     return texts.map(canonical)
 
 
+@F.pandas_udf(StringType())
+def plain_code(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else letters_and_digits(t))
+
+
 def collapse(df: DataFrame, record: str, exact: list[str], code: str, content: str) -> tuple[DataFrame, DataFrame]:
     """Sets of records that differ in writing only.
 
@@ -162,7 +167,8 @@ def collapse(df: DataFrame, record: str, exact: list[str], code: str, content: s
     rows = df.select(*[F.col(c).alias(a) for c, a in named.items()], F.col(record).alias("record_id"))
     exact_, (code_, content_) = [named[c] for c in exact], [named[code], named[content]]
     distinct = rows.groupBy(*named.values()).agg(F.min("record_id").alias("least"), F.count(F.lit(1)).alias("n"))
-    plain = F.regexp_replace(F.lower(F.col(code_)), r"[^\p{L}\p{N}]+", "")
+    odd = F.when(F.col(code_).rlike(r"[^\x00-\x7F]"), F.col(code_))
+    plain = F.coalesce(plain_code(odd), F.regexp_replace(F.lower(F.col(code_)), r"[^\p{L}\p{N}]+", ""))
     survivors = cut(distinct.select(_digest(list(named.values())).alias("_raw"), *exact_, plain.alias("_code"), canonical_text(content_).alias("_content"), "least", "n"))
     group = [*exact_, "_code", "_content"]
     sets = survivors.groupBy(*group).agg(F.min("least").alias("kept_id"), F.sum("n").alias("copies"), F.count(F.lit(1)).alias("writings"))

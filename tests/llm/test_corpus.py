@@ -151,6 +151,8 @@ def test_collapse(spark):
     assert sorted((r.kept_id, r.copies) for r in sets.collect()) == [(1, 193), (3, 1), (4, 1), (5, 2), (7, 1)]
     got = {r.record_id: r.kept_id for r in members.collect()}
     assert len(got) == 197 and got[2] == got[150] == 1 and got[6] == 5 and got[7] == 7
+    accents = spark.createDataFrame([(1, "t", "Caf\u00e9-1", None), (2, "t", "CAFE\u0301 1", None), (3, "t", "cafe1", None)], "id long, t string, q string, f string")
+    assert sorted((r.kept_id, r.copies) for r in collapse(accents, "id", ["t"], "q", "f")[0].collect()) == [(1, 2), (3, 1)]
     none = collapse(df.limit(0), "id", ["t"], "q", "f")
     assert none[0].count() == none[1].count() == 0
 
@@ -257,6 +259,18 @@ def test_encoded_corpus(spark, reference):
     assert encode_corpus(odd.limit(0), "id", "ids").count() == 0
 
 
+def test_vocabulary_is_sent(spark, tmp_path):
+    """Workers without the file have its content from the driver."""
+    import shutil
+
+    own = tmp_path / "own.tiktoken"
+    shutil.copy(VOCABULARY, own)
+    df = spark.createDataFrame([(1, "a cache")], "id long, t string")
+    lazy = encode_corpus(df, "id", "t", str(own))
+    own.unlink()
+    assert lazy.first().ids == encode_corpus(df, "id", "t").first().ids
+
+
 # Mixing
 
 
