@@ -50,11 +50,11 @@ def _bin(value: Column, lo: Column, hi: Column, bins: int, floating: bool = Fals
     return F.least(F.lit(bins - 1), F.floor(F.when(value >= hi, 1.0).otherwise(share) * bins)).cast("int")
 
 
-def _interval_limit(rows: DataFrame, keys: list[str]) -> tuple[int, int]:
-    """How many rows there are, and how many intervals may be broadcast, by the mean size of the keys of the rows."""
+def _interval_limit(sizes: DataFrame, keys: list[str], n: str) -> tuple[int, int]:
+    """How many rows there are, and how many intervals may be broadcast, by the mean size of the rows' keys; ``sizes`` has each key with its ``n`` rows."""
     size = reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) for k in keys], F.lit(0))
-    total, mean = rows.agg(F.count(F.lit(1)), F.avg(size)).first()
-    return total, max(1, int(BROADCAST_BYTES / (INTERVAL_BYTES + 2 * (mean or 0))))
+    total, texts = sizes.agg(F.sum(n), F.sum(size * F.col(n))).first()
+    return total or 0, max(1, int(BROADCAST_BYTES / (INTERVAL_BYTES + 2 * (texts or 0) / max(1, total or 0))))
 
 
 def _same(names: list[str], left: str, right: str) -> Column:
@@ -126,9 +126,9 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     rows = df.select(*[F.col(k) for k in keys], F.col(value).alias("_v")).where(F.col("_v").isNotNull())
     if dict(rows.dtypes)["_v"] in ("double", "float"):
         rows = rows.where(~F.isnan("_v"))
-    total, allowed = _interval_limit(rows, keys)
-    limit = max(small, total * max(1, len(probs)) // allowed)
     sizes = cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total")))
+    total, allowed = _interval_limit(sizes, keys, "_total")
+    limit = max(small, total * max(1, len(probs)) // allowed)
     wanted = F.array(*[F.greatest(F.lit(1), F.ceil(F.lit(float(p)) * F.col("_total"))).cast("long") for p in probs])
 
     ranked = rows.alias("d").join(sizes.where(F.col("_total") > limit).alias("s"), _same(keys, "d", "s"), "left_anti")
@@ -163,9 +163,15 @@ def running_records(df: DataFrame, keys: list[str], order: list[str], value: str
     """
     need = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, *order, value]])
     rows = df.where(need)
-    total, allowed = _interval_limit(rows, keys)
-    limit = max(block_rows, total // allowed)
-    _, levels = refine(rows.select(*keys, *order), keys, order, lambda c: c.where(F.col("_n") > limit), bins)
+    limits: list[int] = []
+
+    def crowded(cells: DataFrame) -> DataFrame:
+        if not limits:
+            total, allowed = _interval_limit(cells, keys, "_n")
+            limits.append(max(block_rows, total // allowed))
+        return cells.where(F.col("_n") > limits[0])
+
+    _, levels = refine(rows.select(*keys, *order), keys, order, crowded, bins)
     path = [f"_p{k}" for k in range(1, len(levels) + 1)]
     placed = _located(rows, keys, order, levels, bins).fillna(-1, path) if path else rows
     before = Window.partitionBy(*keys).orderBy(*path) if path else None
