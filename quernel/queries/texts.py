@@ -58,9 +58,9 @@ _DOC_TOKENS = _tokens_sql("documents", "doc_id", "text")
 @query(f"SELECT doc_id, count(*) AS tokens, sum(pos) AS positions, count(DISTINCT term) AS terms FROM ({_DOC_TOKENS}) GROUP BY doc_id")
 def tokenize_simple(spark: SparkSession, d: str) -> DataFrame:
     """Tokens, the sum of their positions, and distinct terms of each document."""
-    rows = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", T.simple_tokens(F.col("text")).alias("t"))
-    sum_of = F.aggregate("t", F.lit(0).cast("long"), lambda a, t: a + t["pos"])
-    rows = rows.select("doc_id", F.size("t").cast("long").alias("tokens"), sum_of.alias("positions"), F.size(T.unique_terms(F.col("t"))).cast("long").alias("terms"))
+    # a bound variable, so that the tokens are made once for all three figures
+    figures = F.transform(F.array(T.simple_tokens(F.col("text"))), lambda t: F.struct(F.size(t).cast("long").alias("tokens"), F.aggregate(t, F.lit(0).cast("long"), lambda a, x: a + x["pos"]).alias("positions"), F.size(T.unique_terms(t)).cast("long").alias("terms")))
+    rows = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.inline_outer(figures))
     return rows.where("tokens > 0")
 
 
