@@ -15,7 +15,7 @@ from quernel.functions import text as T
 from quernel.functions.stem import stem
 from quernel.operators import cluster, geosearch, index, places, search
 from quernel.queries.model import CATALOG, engine
-from quernel.session import new_path, spread, table
+from quernel.session import new_path, spread, still_there, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -130,16 +130,17 @@ def _part_index(spark: SparkSession, d: str) -> DataFrame:
     return index.build_index(table(spark, d, "part"), "p_partkey", _PART_FIELDS)
 
 
-#: Indexes written by this session, by application and data directory.
-_written: dict[tuple[str, str, str], index.Written] = {}
+#: Indexes written by this session with their paths, by application, data directory and table.
+_written: dict[tuple[str, str, str], tuple[str, index.Written]] = {}
 
 
 def _kept(spark: SparkSession, d: str, name: str, key: str, fields: dict[str, float]) -> index.Written:
     """The index of a table, written on first use; every lookup reads what was written."""
     at = (spark.sparkContext.applicationId, d, name)
-    if at not in _written:
-        _written[at] = index.write(table(spark, d, name), key, fields, "simple", new_path(spark, f"index-{name}"))
-    return _written[at]
+    if at not in _written or not still_there(spark, _written[at][0]):
+        path = new_path(spark, f"index-{name}")
+        _written[at] = path, index.write(table(spark, d, name), key, fields, "simple", path)
+    return _written[at][1]
 
 
 def _docs(spark: SparkSession, d: str) -> index.Written:

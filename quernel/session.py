@@ -47,6 +47,12 @@ def forget_at_end(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
 
 
+def still_there(spark: SparkSession, path: str) -> bool:
+    """Whether a written path has not been deleted since."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once, as a written table in the shared folder, so that the
     loss of an executor costs no recomputation of what came before. The table
